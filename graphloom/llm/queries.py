@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from graphloom.llm.decontamination import op7_winnowing_decontamination
 from graphloom.llm.exact_dedup import op1_exact_dedup
+from graphloom.llm.language import op6_language_id
 from graphloom.llm.mixing import op5_source_mixing
+from graphloom.llm.pii import op8_personal_data
+from graphloom.llm.quality import op4_quality_classifier
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_source_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op4_quality_classifier,
+        op5_source_mixing,
+        op6_language_id,
+        op7_winnowing_decontamination,
+        op8_personal_data,
+    )
+}
 
 ORACLE = {
     "op1_exact_dedup": r"""

@@ -8,11 +8,13 @@ from graphloom.llm.language import op6_language_id
 from graphloom.llm.mixing import op5_source_mixing
 from graphloom.llm.pii import op8_personal_data
 from graphloom.llm.quality import op4_quality_classifier
+from graphloom.llm.substrings import op3_substring_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op3_substring_dedup,
         op4_quality_classifier,
         op5_source_mixing,
         op6_language_id,

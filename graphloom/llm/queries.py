@@ -5,6 +5,7 @@ from __future__ import annotations
 from graphloom.llm.decontamination import op7_winnowing_decontamination
 from graphloom.llm.exact_dedup import op1_exact_dedup
 from graphloom.llm.language import op6_language_id
+from graphloom.llm.language_model import op9_language_model
 from graphloom.llm.mixing import op5_source_mixing
 from graphloom.llm.pii import op8_personal_data
 from graphloom.llm.quality import op4_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
         op6_language_id,
         op7_winnowing_decontamination,
         op8_personal_data,
+        op9_language_model,
     )
 }
 

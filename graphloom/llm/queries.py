@@ -7,6 +7,7 @@ from graphloom.llm.exact_dedup import op1_exact_dedup
 from graphloom.llm.language import op6_language_id
 from graphloom.llm.language_model import op9_language_model
 from graphloom.llm.mixing import op5_source_mixing
+from graphloom.llm.near_dedup import op10_order_minhash
 from graphloom.llm.pii import op8_personal_data
 from graphloom.llm.quality import op4_quality_classifier
 from graphloom.llm.substrings import op3_substring_dedup
@@ -22,6 +23,7 @@ QUERIES = {
         op7_winnowing_decontamination,
         op8_personal_data,
         op9_language_model,
+        op10_order_minhash,
     )
 }
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NO_ID, new_path
+from graphloom.llm.common import NO_ID, new_path, remove, tidy
 
 BLOCK_BYTES = 6 << 20
 PARTS = "block long, shard int, size long, data binary"
@@ -95,10 +95,17 @@ def blocks_of(docs: DataFrame, make: Callable[[int, list, list], Iterable[Part]]
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """Written by kind; `kind` is part of the path."""
     path = new_path(rows.sparkSession, name)
-    rows.withColumn("kind", F.when(F.col("shard") >= 0, "part").when(F.col("shard") == PAYLOAD, "payload").otherwise("note")).write.partitionBy("kind").parquet(path)
+    kinds = rows.withColumn("kind", F.when(F.col("shard") >= 0, "part").when(F.col("shard") == PAYLOAD, "payload").otherwise("note"))
+    with tidy(rows.sparkSession):
+        kinds.write.partitionBy("kind").parquet(path)
     return rows.sparkSession.read.schema(PARTS + ", kind string").parquet(path)
 
 
+def drop_parts(rows: DataFrame) -> None:
+    """Deletes what a stored table sent to shards, once all have answered."""
+    remove(rows.sparkSession, rows.inputFiles()[0].rpartition("/kind=")[0] + "/kind=part")
+
+
 def parts(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'part'").drop("kind")
 

@@ -19,6 +19,7 @@ never cut; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable
 
 import ahocorasick
@@ -158,14 +159,21 @@ def first_places(shard: int, pdf: pd.DataFrame) -> Iterable[B.Part]:
 
 def as_characters(words: list[bytes], bounds: np.ndarray) -> str:
     """A string with one code point for each distinct word, and U+0000 behind each document."""
-    known: dict[bytes, int] = {}
-    codes = np.fromiter((known.setdefault(x, len(known) + 1) for x in words), np.uint32, len(words))
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = lambda: len(known) + 1
+    codes = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
     codes = np.where(codes >= 0xD800, codes + 0x800, codes)  # not the surrogates
     if len(known) + 0x800 > 0x10FFFF:
         raise ValueError("a block has more distinct words than there are code points")
     return np.insert(codes, bounds[1:], 0).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def spelled(codes: np.ndarray, digits: int) -> str:
+    """Each code as so many letters of 32, with other letters for each place: a node of the automaton has few children."""
+    places = np.arange(digits - 1, -1, -1)
+    return ((codes[:, None] >> (5 * places)) % 32 + 32 * places).astype(np.uint8).tobytes().decode("latin-1")
+
+
 class Passages:
     """Runs of windows that recur, as an automaton of anchors over a block's own text."""
 
@@ -179,26 +187,36 @@ class Passages:
         for k, (a, b) in enumerate(self.runs):
             for p in range(a, b - anchor + 1, WINDOW - anchor + 1):
                 places.setdefault(text[p : p + anchor], []).append((k, p))
-        for phrase, at in places.items():
-            self.automaton.add_word(phrase, at)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        self.digits = max(1, -(-int(codes.max(initial=1)).bit_length() // 5))
+        if self.digits > 8:
+            raise ValueError("a block has too many distinct words")
+        self.stream = spelled(codes, self.digits)
+        for at in places.values():
+            p = at[0][1]
+            self.automaton.add_word(self.stream[p * self.digits : (p + anchor) * self.digits], at)
         self.automaton.make_automaton()
 
     def occurrences(self) -> Iterable[tuple[int, int, int]]:
         """(start, end, shift): text[start:end] equals what stands shift earlier or later in a passage, and is as long as it gets."""
-        text, done = self.text, {}
+        text, done, width = self.text, {}, self.anchor
         if not self.runs:
             return
-        for last, found in self.automaton.iter(text):
-            at = last - self.anchor + 1
+        for last, found in self.automaton.iter(self.stream):
+            at = (last + 1) // self.digits - width
             for k, p in found:
                 shift = at - p
                 if shift == 0 or done.get((k, shift), -1) > at:
                     continue
                 a, b = self.runs[k]
-                x, y = p, p + self.anchor
+                x, y = p, p + width
+                while x - width >= a and text[x - width : x] == text[x + shift - width : x + shift]:
+                    x -= width
                 while x > a and text[x - 1] == text[x - 1 + shift]:
                     x -= 1
-                while y < b and y + shift < len(text) and text[y] == text[y + shift]:
+                while y + width <= b and text[y : y + width] == text[y + shift : y + shift + width]:
+                    y += width
+                while y < b and text[y] == text[y + shift]:  # the text ends with a sign that is in no passage
                     y += 1
                 done[k, shift] = y + shift
                 if y - x >= WINDOW:
@@ -255,6 +273,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = B.blocks_of(docs, propose(shards))
     texts = B.payloads(rows)
     candidates = B.stored(B.per_block(texts.unionByName(B.per_shard(B.parts(rows), recurring)), confirm(shards), B.PARTS), "windows")
+    B.drop_parts(rows)
     answers = B.per_shard(B.parts(candidates), first_places)
     return B.per_block(texts.unionByName(answers).unionByName(B.notes(candidates)), cut, RESULT)
 

@@ -8,10 +8,12 @@ Verification: labelled k-mers agree to 0.8 or more (Jaccard), and a banded align
 least 0.8 of the longer text matched, so a text with its parts in another order is no copy.
 
 Groups are never paired out.  Equal texts are one vertex.  Each bucket compares its members with its first one
-(a star); what that leaves in different components is compared within the bucket as far as the triangle
-inequality of the Jaccard distance allows a link at all, in chunks of bounded size; a larger bucket loses its
-first member each round, which has then met all others, until nothing is left to compare.  So no link between
-bucket mates of different components is lost, whatever the size of a bucket.
+(a star).  What that leaves in different components is compared within the bucket where a link is possible at all:
+the triangle inequality of the Jaccard distance must allow it, and the two must share one of the rarest k-mers of
+each (at similarity 0.8 two texts share one of the first 20 % of theirs, by any order).  A bucket of more than
+CHUNK members is split by those rarest k-mers into smaller ones that keep every possible link; if one doesn't get
+smaller, it loses its first member each round, which has then met all others.  So no link between bucket mates of
+different components is lost, whatever the size of a bucket.
 
 Defined cases: null and empty texts (no words) are classes of their own; texts of fewer than five words are one
 k-mer; a null doc_id sorts after every id, and a class of such rows has class id null; repeated rows are equal
@@ -26,13 +28,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.blocks import press, unpress
 from graphloom.llm.common import NO_ID, materialize, mix, roll, table, word_hashes
 
-K, SIMILARITY, SKETCHES, SMALLEST, CHUNK = 5, 0.8, 24, 4, 256
+K, SIMILARITY, SKETCHES, SMALLEST, CHUNK = 5, 0.8, 24, 4, 1000
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -187,6 +189,11 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("row"), F.col("v").alias("comp")).unionByName(roots)
 
 
+def prefix(size: int) -> int:
+    """Of so many k-mers, how many of the rarest any text at the similarity shares one of."""
+    return size - int(np.ceil(SIMILARITY * size - 1e-9)) + 1
+
+
 def resolve(groups: DataFrame) -> DataFrame:
     """Links (u, v) between different components within each (key, chunk): row, comp, far (from the bucket's first), data."""
 
@@ -194,10 +201,27 @@ def resolve(groups: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)
         texts = [Text(d) for d in pdf.data]
         far, comp, rows = pdf.far.to_numpy(), pdf.comp.to_numpy().copy(), pdf.row.to_numpy()
+        owner = np.repeat(np.arange(len(texts)), [len(t.grams) for t in texts])
+        _, gram, count = np.unique(np.concatenate([t.grams for t in texts]), return_inverse=True, return_counts=True)
+        order = np.lexsort((gram, count[gram], owner))
+        owner, gram = owner[order], gram[order]
+        first = np.searchsorted(owner, np.arange(len(texts) + 1))
+        rarest = np.concatenate([np.arange(first[i], first[i] + prefix(len(t.grams))) for i, t in enumerate(texts)])
+        shared = rarest[count[gram[rarest]] > 1]
+        by_gram = shared[np.lexsort((owner[shared], gram[shared]))]
+        lists = np.split(owner[by_gram], np.flatnonzero(np.diff(gram[by_gram])) + 1) if len(by_gram) else []
+        mates: list[list[np.ndarray]] = [[] for _ in texts]
+        for members in lists:
+            if len(members) > 1 and len(np.unique(comp[members])) > 1:
+                for at, i in enumerate(members.tolist()):
+                    mates[i].append(members[:at])
         out = []
-        for i in range(1, len(pdf)):
-            may = (comp[:i] != comp[i]) & (np.abs(far[:i] - far[i]) <= 1 - SIMILARITY + 1e-9)
-            for j in np.flatnonzero(may).tolist():
+        for i, some in enumerate(mates):
+            if not some:
+                continue
+            others = np.unique(np.concatenate(some))
+            may = others[(comp[others] != comp[i]) & (np.abs(far[others] - far[i]) <= 1 - SIMILARITY + 1e-9)]
+            for j in may.tolist():
                 if comp[j] != comp[i] and linked(texts[j], texts[i], texts[j].far(texts[i])):
                     out.append((rows[j], rows[i]))
                     comp[comp == comp[i]] = comp[j]
@@ -206,6 +230,23 @@ def resolve(groups: DataFrame) -> DataFrame:
     return groups.groupBy("key", "chunk").applyInPandas(run, "u long, v long")
 
 
+def finer(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """Buckets (key, row, comp, far) split by the members' rarest k-mers: members that can have a link share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [Text(d).grams.view(np.int64) for d in b.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("row"), pa.array(grams, pa.list_(pa.int64()))], ["key", "row", "grams"])
+
+    held = state.join(texts, "row").select("key", "row", "data").mapInArrow(run, "key long, row long, grams array<long>")
+    each = materialize(held.select("key", "row", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "grams")
+    common = each.groupBy("key", "gram").agg(F.count("*").alias("n"))
+    place = Window.partitionBy("key", "row").orderBy("n", "gram")
+    least = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
+    rarest = each.join(common, ["key", "gram"]).withColumn("place", F.row_number().over(place)).where((F.col("place") <= least) & (F.col("n") > 1))
+    return state.join(rarest.select("key", "row", "gram"), ["key", "row"]).select(F.xxhash64("key", "gram").alias("key"), "row", "comp", "far")
+
+
 def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.drop("comp").join(comps, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
 
@@ -241,20 +282,27 @@ def classes(docs: DataFrame) -> DataFrame:
     state = materialize(state, "left_over")
     alike = state.groupBy("key").agg(F.bit_xor(F.xxhash64("row")).alias("h"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
     state = state.join(alike.groupBy("h", "s", "n").agg(F.min("key").alias("key")).select("key"), "key")
-    again = 0
+    again, largest = 0, None
     while True:
         sized = state.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("head"))
+        most = sized.agg(F.max("n")).first()[0] or 0
+        if most > CHUNK and (largest is None or most <= 0.8 * largest):
+            largest = most
+            large = sized.where(F.col("n") > CHUNK).select("key")
+            split_up = left_over(finer(state.join(large, "key", "left_semi"), texts))
+            state = materialize(state.join(large, "key", "left_anti").unionByName(split_up), "left_over")
+            continue
         work = materialize(state.join(sized, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK)), "work")
         chunk = F.when((F.col("row") == F.col("head")) & (F.col("chunks") > 1), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", F.lit(again)), F.col("chunks"))))
         groups = work.withColumn("chunk", F.explode(chunk)).join(texts, "row").select("key", "chunk", "row", "comp", "far", "data")
         found = materialize(resolve(groups), "links")
-        edges = edges.unionByName(found)
+        edges = materialize(edges.unionByName(found), "all_links")
         comps = materialize(components(edges), "components") if found.head(1) else comps
+        if most <= CHUNK:
+            break
         rest = left_over(with_component(work.where("chunks > 1 and row != head").select("key", "row", "far"), comps))
         state = materialize(rest.select("key", "row", "comp", "far"), "left_over")
-        again += 1
-        if not state.head(1):
-            break
+        again, largest = again + 1, None
 
     roots = with_component(first.select("one", "two", F.col("rep").alias("row")), comps).select("one", "two", "comp")
     placed = sigs.select("row", "id", "tag", "one", "two", "n").join(roots.withColumn("has", F.lit(1)), ["one", "two"], "left")

@@ -112,19 +112,13 @@ class Record:
 
 def parse(data: bytes, base: int = 0) -> Iterable[Record]:
     """The records of an archive or of a range of it that starts at a record."""
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(view[at:])
-        length = len(data) - at - len(z.unused_data)
-        if raw:
-            head, _, rest = raw.partition(b"\r\n\r\n")
-            first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-            if not first.startswith("WARC/"):
-                raise ValueError(f"no record at {base + at}")
-            headers = dict(x.split(": ", 1) for x in lines)
-            yield Record(headers, rest[: int(headers["Content-Length"])], base + at, length)
-        at += length
+    for at, length, raw in members(data):
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+        if not first.startswith("WARC/"):
+            raise ValueError(f"no record at {base + at}")
+        headers = dict(x.split(": ", 1) for x in lines)
+        yield Record(headers, rest[: int(headers["Content-Length"])], base + at, length)
 
 
 def number(urn: str | None) -> int | None:
@@ -239,12 +233,16 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, content) of the gzip members that aren't empty."""
     at, view = 0, memoryview(data)
     while at < len(data):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(view[at:])
-        length = len(data) - at - len(z.unused_data)
-        if raw:
-            yield at, length, raw
-        at += length
+        z, end, raw = zlib.decompressobj(31), at, []
+        while not z.eof and end < len(data):  # piece by piece: what stands behind the member is copied
+            raw.append(z.decompress(view[end : end + 4096]))
+            end = min(end + 4096, len(data))
+        if not z.eof:
+            raise ValueError(f"the member at {at} is cut off")
+        end -= len(z.unused_data)
+        if content := b"".join(raw):
+            yield at, end - at, content
+        at = end
 
 
 def read_range(spark: SparkSession, file: str, offset: int, length: int) -> bytes:

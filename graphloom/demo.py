@@ -1,6 +1,224 @@
-"""The property graph over the TPC-H-like tables, and the queries on it."""
+"""The property graph over the TPC-H-like tables, and a query for each operator with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.operators.query import aggregates, count_by, frame, groups, scan_edges, scan_entities
+from graphloom.plans.textdsl import parse_text
+from graphloom.sources.graph import Graph, RelationType
+
+RELATIONS = {
+    r.name: r
+    for r in (
+        RelationType("in_region", ("nation",), ("region",), "many_to_one", "reverse"),
+        RelationType("lives_in", ("customer",), ("nation",), "many_to_one", "reverse"),
+        RelationType("located_in", ("supplier",), ("nation",), "many_to_one", "reverse"),
+        RelationType("placed", ("customer",), ("order",), "one_to_many", "forward"),
+        RelationType("contains", ("order",), ("part",), "many_to_many", "forward"),
+        RelationType("supplies", ("supplier",), ("part",), "many_to_many", "forward"),
+    )
+}
+
+
+def _id(kind: str, key: str) -> F.Column:
+    return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+
+
+def build(spark: SparkSession, sf_dir: str) -> Graph:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    region, nation, customer, supplier, part, orders, lineitem = map(read, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
+    docs, labels = read("documents"), read("labels")
+    flags = F.filter(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull())
+    kinds = {
+        "region": region.select(_id("region", "r_regionkey").alias("id"), F.col("r_name").alias("name")),
+        "nation": nation.select(_id("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name")),
+        "customer": customer.select(_id("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("mktsegment")),
+        "supplier": supplier.select(_id("supplier", "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal")),
+        "part": part.select(_id("part", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("retailprice")),
+        "order": orders.select(_id("order", "o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("totalprice"), F.col("o_orderdate").alias("orderdate"), F.col("o_orderpriority").alias("priority")),
+        "user": read("events").select(_id("user", "user_id").alias("id")).distinct(),
+        "document": docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left").select(
+            _id("document", "doc_id").alias("id"), "source", "text", "lang", "quality", "toxic", F.when(F.col("quality").isNotNull(), flags).alias("labels")
+        ),
+    }
+
+    def edge(df: DataFrame, type_: str, src: tuple[str, str], dst: tuple[str, str], *fields: str) -> DataFrame:
+        own = {f: F.col(f).cast("double") if f in fields else F.lit(None).cast("double") for f in ("qty", "lines", "revenue")}
+        return df.select(F.lit(type_).alias("type"), _id(*src).alias("src"), _id(*dst).alias("dst"), *(c.alias(n) for n, c in own.items()))
+
+    lines = lineitem.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("lines"), F.sum("l_extendedprice").alias("revenue"))
+    supplied = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("lines"))
+    edges = reduce(
+        DataFrame.unionByName,
+        (
+            edge(nation, "in_region", ("nation", "n_nationkey"), ("region", "n_regionkey")),
+            edge(customer, "lives_in", ("customer", "c_custkey"), ("nation", "c_nationkey")),
+            edge(supplier, "located_in", ("supplier", "s_suppkey"), ("nation", "s_nationkey")),
+            edge(orders, "placed", ("customer", "o_custkey"), ("order", "o_orderkey")),
+            edge(lines, "contains", ("order", "l_orderkey"), ("part", "l_partkey"), "qty", "lines", "revenue"),
+            edge(supplied, "supplies", ("supplier", "l_suppkey"), ("part", "l_partkey"), "lines"),
+        ),
+    )
+    return Graph.of(spark, kinds, edges, RELATIONS)
+
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+_EDGES = """
+    e0 AS (
+        SELECT 'in_region' AS type, 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst, NULL::DOUBLE AS qty, NULL::DOUBLE AS lines FROM nation
+        UNION ALL SELECT 'lives_in', 'customer:' || c_custkey, 'nation:' || c_nationkey, NULL, NULL FROM customer
+        UNION ALL SELECT 'located_in', 'supplier:' || s_suppkey, 'nation:' || s_nationkey, NULL, NULL FROM supplier
+        UNION ALL SELECT 'placed', 'customer:' || o_custkey, 'order:' || o_orderkey, NULL, NULL FROM orders
+        UNION ALL SELECT 'contains', 'order:' || l_orderkey, 'part:' || l_partkey, sum(l_quantity), count(*)::DOUBLE FROM lineitem GROUP BY ALL
+        UNION ALL SELECT 'supplies', 'supplier:' || l_suppkey, 'part:' || l_partkey, NULL, count(*)::DOUBLE FROM lineitem GROUP BY ALL),
+    e AS (SELECT *, 'edge:' || substr(sha256(type || chr(0) || src || chr(0) || dst), 1, 32) AS id FROM e0)"""
+
+
+def _query(name: str, oracle: str | None, edges: bool = False):
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: f(build(spark, sf_dir))
+        if oracle:
+            ORACLE[name] = (f"WITH {_EDGES}\n" if edges else "") + oracle
+        return f
+
+    return add
+
+
+def _frame(name: str, request: dict | str, oracle: str, limit: int | None = None, offset: int = 0, edges: bool = False) -> None:
+    _query(name, oracle, edges)(lambda g: frame(g, parse_text(request) if isinstance(request, str) else request, limit, offset))
+
+
+def _flt(field: str, op: str, value=None) -> dict:
+    return {"field": field, "op": op, "value": value}
+
+
+_CUSTOMER = "SELECT 'customer:' || c_custkey AS id, 'customer' AS kind, c_name AS name, c_acctbal AS acctbal FROM customer"
+_DOCUMENT = "SELECT 'document:' || doc_id AS id, 'document' AS kind, quality::DOUBLE AS quality FROM documents LEFT JOIN labels USING (doc_id)"
+
+_frame("match_kind", {"op": "match", "kind": "nation", "project": ["name"]}, "SELECT 'nation:' || n_nationkey AS id, 'nation' AS kind, n_name AS name FROM nation")
+_frame("match_id", {"op": "match", "kind": "customer", "where": [_flt("id", "eq", "customer:7")], "project": ["name", "acctbal"]}, f"{_CUSTOMER} WHERE c_custkey = 7")
+_frame("match_eq", {"op": "match", "kind": "customer", "filters": {"mktsegment": "BUILDING"}, "project": ["name", "acctbal"]}, f"{_CUSTOMER} WHERE c_mktsegment = 'BUILDING'")
+_frame("match_neq_missing", {"op": "match", "kind": "document", "where": [_flt("quality", "neq", 1)], "project": ["quality"]}, f"{_DOCUMENT} WHERE quality <> 1")
+_frame("match_in", {"op": "match", "kind": "customer", "where": [_flt("mktsegment", "in", ["BUILDING", "MACHINERY"])], "project": ["name", "acctbal"]}, f"{_CUSTOMER} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+_frame("match_range", {"op": "match", "kind": "order", "where": [_flt("totalprice", "gte", 100000), _flt("totalprice", "lt", 150000)], "project": ["totalprice"]},
+       "SELECT 'order:' || o_orderkey AS id, 'order' AS kind, o_totalprice AS totalprice FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 150000")
+_frame("match_text_range", {"op": "match", "kind": "order", "where": [_flt("orderdate", "gte", "1997-01-01"), _flt("status", "gt", "F")], "project": ["orderdate"]},
+       "SELECT 'order:' || o_orderkey AS id, 'order' AS kind, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderstatus > 'F'")
+_frame("match_prefix", {"op": "match", "kind": "customer", "where": [_flt("name", "prefix", "Customer#00000001")], "project": ["name", "acctbal"]}, f"{_CUSTOMER} WHERE starts_with(c_name, 'Customer#00000001')")
+_frame("match_contains_text", {"op": "match", "kind": "document", "where": [_flt("text", "contains", "LICENSE")], "project": ["quality"]}, f"{_DOCUMENT} WHERE contains(lower(text), 'license')")
+_frame("match_contains_array", {"op": "match", "kind": "document", "where": [_flt("labels", "contains", "toxic")], "project": ["quality"]}, f"{_DOCUMENT} WHERE toxic = 1")
+_frame("match_fuzzy", {"op": "match", "kind": "part", "where": [_flt("ptype", "fuzzy", "sTl")], "project": ["ptype"]},
+       "SELECT 'part:' || p_partkey AS id, 'part' AS kind, p_type AS ptype FROM part WHERE lower(p_type) LIKE '%s%t%l%'")
+_frame("match_exists", {"op": "match", "kind": "document", "where": [_flt("quality", "exists", False)], "project": ["quality"]}, f"{_DOCUMENT} WHERE quality IS NULL")
+_frame("match_bool_expr", {"op": "match", "kind": "customer", "where_expr": {"op": "and", "children": [
+            {"op": "or", "children": [_flt("acctbal", "gte", 5000), _flt("mktsegment", "eq", "BUILDING")]},
+            {"op": "not", "children": [_flt("name", "contains", "9")]}]}, "project": ["name", "acctbal"]},
+       f"{_CUSTOMER} WHERE (c_acctbal >= 5000 OR c_mktsegment = 'BUILDING') AND NOT contains(c_name, '9')")
+_frame("match_project", {"op": "match", "kind": "part", "where": [_flt("size", "eq", 15)], "project": ["brand", "fields.size", "nothing"]},
+       "SELECT 'part:' || p_partkey AS id, 'part' AS kind, p_brand AS brand, p_size::DOUBLE AS \"fields.size\", NULL::VARCHAR AS nothing FROM part WHERE p_size = 15")
+_frame("match_any_kind", {"op": "match", "where": [_flt("acctbal", "gt", 9000)], "project": ["name"]},
+       """SELECT 'customer:' || c_custkey AS id, 'customer' AS kind, c_name AS name FROM customer WHERE c_acctbal > 9000
+          UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name FROM supplier WHERE s_acctbal > 9000""")
+_frame("match_sort_topk", {"op": "match", "kind": "customer", "where": [_flt("acctbal", "gte", 0)], "sort": [{"field": "acctbal", "desc": True}], "project": ["name", "acctbal"]},
+       f"{_CUSTOMER} WHERE c_acctbal >= 0 ORDER BY c_acctbal DESC, id LIMIT 50", limit=50)
+_frame("match_sort_missing_last", {"op": "match", "kind": "document", "sort": [{"field": "quality"}], "project": ["quality"]}, f"{_DOCUMENT} ORDER BY quality NULLS LAST, id LIMIT 500", limit=500)
+_frame("match_page2", {"op": "match", "kind": "customer", "sort": [{"field": "mktsegment"}], "project": ["name", "acctbal"]}, f"{_CUSTOMER} ORDER BY c_mktsegment, id LIMIT 40 OFFSET 40", limit=40, offset=40)
+_frame("text_find", 'FIND customer WHERE acctbal >= 9000 AND NOT mktsegment IN ["BUILDING"] PROJECT name, acctbal', f"{_CUSTOMER} WHERE c_acctbal >= 9000 AND c_mktsegment <> 'BUILDING'")
+
+_query("agg_global", """SELECT count(*) AS count, sum(c_acctbal) AS total, avg(c_acctbal) AS mean, min(c_acctbal) AS least, max(c_acctbal) AS most
+                        FROM customer WHERE c_mktsegment = 'BUILDING'""")(
+    lambda g: aggregates(g, {"op": "match", "kind": "customer", "filters": {"mktsegment": "BUILDING"}, "aggregate": [
+        {"op": "count"}, {"op": "sum", "field": "acctbal", "name": "total"}, {"op": "avg", "field": "acctbal", "name": "mean"}, {"op": "min", "field": "acctbal", "name": "least"}, {"op": "max", "field": "acctbal", "name": "most"}]}))
+_query("agg_count_by", "SELECT coalesce(quality::VARCHAR, '<nil>') AS value, count(*) AS count FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")(
+    lambda g: count_by(g, {"op": "match", "kind": "document"}, "quality"))
+_query("agg_group_having", """SELECT o_orderpriority AS priority, count(*) AS count, avg(o_totalprice) AS mean FROM orders
+                              GROUP BY 1 HAVING count(*) >= 10 AND avg(o_totalprice) > 1000""")(
+    lambda g: groups(g, {"op": "match", "kind": "order", "group_by": ["priority"], "aggregate": [{"op": "count"}, {"op": "avg", "field": "totalprice", "name": "mean"}],
+                         "having": [_flt("count", "gte", 10), _flt("mean", "gt", 1000)]}))
+_query("agg_group_missing", "SELECT lang, quality::DOUBLE AS quality, count(*) AS count FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2")(
+    lambda g: groups(g, {"op": "match", "kind": "document", "group_by": ["lang", "quality"]}))
+
+_NEAR = "SELECT dst AS id, id AS edge_id, 'out' AS direction FROM e WHERE src = '{0}' {1}"
+_INTO = "SELECT src AS id, id AS edge_id, 'in' AS direction FROM e WHERE dst = '{0}' {1}"
+_frame("neighbors_out", {"op": "neighbors", "id": "customer:7", "direction": "out"}, _NEAR.format("customer:7", ""), edges=True)
+_frame("neighbors_in", {"op": "neighbors", "id": "nation:3", "direction": "in", "relation_types": ["lives_in"]}, _INTO.format("nation:3", "AND type = 'lives_in'"), edges=True)
+_frame("neighbors_both", {"op": "neighbors", "id": "nation:3"}, _NEAR.format("nation:3", "") + " UNION ALL " + _INTO.format("nation:3", ""), edges=True)
+_frame("neighbors_edge_where", {"op": "neighbors", "id": "supplier:5", "direction": "out", "edge_where": [_flt("lines", "gte", 2)], "where": [_flt("size", "lt", 30)]},
+       _NEAR.format("supplier:5", "AND lines >= 2 AND dst IN (SELECT 'part:' || p_partkey FROM part WHERE p_size < 30)"), edges=True)
+_frame("neighbors_project", {"op": "neighbors", "id": "nation:3", "direction": "in", "path": {"node_kinds": ["customer"]}, "where": [_flt("acctbal", "gt", 5000)], "project": ["name"]},
+       "SELECT e.src AS id, e.id AS edge_id, 'in' AS direction, c_name AS name FROM e JOIN customer ON e.src = 'customer:' || c_custkey WHERE e.dst = 'nation:3' AND c_acctbal > 5000", edges=True)
+_frame("neighbors_impact", {"op": "neighbors", "id": "nation:3", "direction_strategy": "impact"}, _INTO.format("nation:3", ""), edges=True)
+_query("neighbors_group", "SELECT c_mktsegment AS mktsegment, count(*) AS count, sum(c_acctbal) AS total FROM customer WHERE c_nationkey = 3 GROUP BY 1")(
+    lambda g: groups(g, {"op": "neighbors", "id": "nation:3", "direction": "in", "relation_type": "lives_in", "group_by": ["mktsegment"], "aggregate": [{"op": "count"}, {"op": "sum", "field": "acctbal", "name": "total"}]}))
+
+
+def _hops(start: str, n: int, view: str, where: str = "") -> str:
+    """SQL of simple paths of 1 to n hops over a view (cur, nxt, id)."""
+    levels = [f"p1 AS (SELECT [v.cur, v.nxt] AS vs, [v.id] AS es, v.nxt AS cur FROM {view} v WHERE v.cur = '{start}' AND v.cur <> v.nxt)"]
+    levels += [f"p{k} AS (SELECT list_append(vs, v.nxt) AS vs, list_append(es, v.id) AS es, v.nxt AS cur FROM p{k - 1} p JOIN {view} v ON p.cur = v.cur WHERE NOT list_contains(vs, v.nxt))" for k in range(2, n + 1)]
+    return ", ".join(levels) + ", p AS (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(1, n + 1)) + ")"
+
+
+_OUT = "o AS (SELECT src AS cur, dst AS nxt, id, type FROM e)"
+_BACK = "i AS (SELECT dst AS cur, src AS nxt, id, type FROM e)"
+_SHOW = "SELECT array_to_string(vs, '>') AS path, array_to_string(es, '>') AS edges, len(es)::BIGINT AS length, cur AS end_id FROM p"
+
+
+def _path(name: str, request: dict, ctes: str, tail: str = "", limit: int | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: frame(build(spark, sf_dir), request, limit)
+    ORACLE[name] = f"WITH {_EDGES}, {ctes} {_SHOW} {tail}"
+
+
+_path("traverse_d2", {"op": "traverse", "id": "customer:7", "direction": "out", "depth": 2}, _OUT + ", " + _hops("customer:7", 2, "o"))
+_path("traverse_both", {"op": "traverse", "id": "region:1", "depth": 2, "relation_types": ["in_region", "located_in"]},
+      "b AS (SELECT src AS cur, dst AS nxt, id FROM e WHERE type IN ('in_region', 'located_in') UNION ALL SELECT dst, src, id FROM e WHERE type IN ('in_region', 'located_in')), " + _hops("region:1", 2, "b"))
+_path("traverse_end_filter", {"op": "traverse", "id": "region:1", "direction": "in", "depth": 3, "relation_types": ["in_region", "lives_in", "located_in"], "path": {"end_kind": "customer", "end_where": [_flt("acctbal", "gt", 8000)]}},
+      _BACK.replace("FROM e", "FROM e WHERE type IN ('in_region', 'lives_in', 'located_in')") + ", " + _hops("region:1", 3, "i"), "WHERE cur IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_acctbal > 8000)")
+_path("traverse_steps", {"op": "traverse", "id": "nation:3", "direction": "in", "depth": 3, "path": {"steps": [
+          {"relation_types": ["lives_in"], "node_kinds": ["customer"], "where": [_flt("mktsegment", "eq", "BUILDING")]},
+          {"direction": "out", "relation_types": ["placed"]},
+          {"direction": "out", "relation_types": ["contains"], "edge_where": [_flt("qty", "gte", 40)]}]}},
+      """p AS (SELECT [a.dst, a.src, b.dst, c.dst] AS vs, [a.id, b.id, c.id] AS es, c.dst AS cur
+               FROM e a JOIN customer ON a.src = 'customer:' || c_custkey AND c_mktsegment = 'BUILDING'
+               JOIN e b ON b.src = a.src AND b.type = 'placed' JOIN e c ON c.src = b.dst AND c.type = 'contains' AND c.qty >= 40
+               WHERE a.type = 'lives_in' AND a.dst = 'nation:3')""")
+_path("traverse_max_paths", {"op": "traverse", "id": "region:1", "direction": "in", "depth": 2, "path": {"max_paths": 20}}, _BACK + ", " + _hops("region:1", 2, "i"), "ORDER BY es, vs LIMIT 20")
+_path("impact_forward", {"op": "impact", "id": "customer:7", "depth": 2}, "o AS (SELECT src AS cur, dst AS nxt, id FROM e WHERE type IN ('placed', 'contains', 'supplies') UNION ALL SELECT dst, src, id FROM e WHERE type IN ('in_region', 'lives_in', 'located_in')), " + _hops("customer:7", 2, "o"))
+_path("impact_reverse", {"op": "impact", "id": "region:2", "depth": 2}, "o AS (SELECT src AS cur, dst AS nxt, id FROM e WHERE type IN ('placed', 'contains', 'supplies') UNION ALL SELECT dst, src, id FROM e WHERE type IN ('in_region', 'lives_in', 'located_in')), " + _hops("region:2", 2, "o"))
+_path("pattern_2step", {"op": "pattern", "kind": "supplier", "where": [_flt("acctbal", "lt", 0)], "path": {"steps": [{"relation_types": ["located_in"]}, {"relation_types": ["in_region"]}]}},
+      """p AS (SELECT [a.src, a.dst, b.dst] AS vs, [a.id, b.id] AS es, b.dst AS cur FROM e a JOIN e b ON a.dst = b.src AND a.type = 'located_in' AND b.type = 'in_region'
+               JOIN supplier ON a.src = 'supplier:' || s_suppkey AND s_acctbal < 0)""")
+_path("pattern_3step_filtered", {"op": "pattern", "kind": "region", "where": [_flt("name", "eq", "ASIA")], "path": {"steps": [
+          {"direction": "in", "relation_types": ["in_region"], "node_kinds": ["nation"]},
+          {"direction": "in", "relation_types": ["lives_in"], "where": [_flt("acctbal", "gt", 5000)]},
+          {"relation_types": ["placed"], "where": [_flt("priority", "prefix", "1")]}]}},
+      """p AS (SELECT [a.dst, a.src, b.src, c.dst] AS vs, [a.id, b.id, c.id] AS es, c.dst AS cur
+               FROM e a JOIN region ON a.dst = 'region:' || r_regionkey AND r_name = 'ASIA' AND a.type = 'in_region'
+               JOIN e b ON b.dst = a.src AND b.type = 'lives_in' JOIN customer ON b.src = 'customer:' || c_custkey AND c_acctbal > 5000
+               JOIN e c ON c.src = b.src AND c.type = 'placed' JOIN orders ON c.dst = 'order:' || o_orderkey AND starts_with(o_orderpriority, '1'))""")
+_query("pattern_agg_end", "SELECT dst AS end_id, count(*) AS count FROM (SELECT b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.type = 'lives_in' AND b.type = 'in_region') GROUP BY 1", True)(
+    lambda g: groups(g, {"op": "pattern", "kind": "customer", "path": {"steps": [{"relation_types": ["lives_in"]}, {"relation_types": ["in_region"]}]}, "group_by": ["end_id"]}))
+_path("path_project_end", {"op": "traverse", "id": "region:1", "direction": "in", "depth": 1, "project": ["name"]}, _BACK + ", " + _hops("region:1", 1, "i"))
+ORACLE["path_project_end"] = ORACLE["path_project_end"].replace("cur AS end_id FROM p", "cur AS end_id, n_name AS name FROM p JOIN nation ON cur = 'nation:' || n_nationkey")
+_path("shortest_path", {"op": "shortest_path", "id": "customer:7", "target_id": "region:1", "depth": 4, "relation_types": ["lives_in", "in_region", "located_in"]},
+      "b AS (SELECT src AS cur, dst AS nxt, id FROM e WHERE type IN ('lives_in', 'in_region', 'located_in') UNION ALL SELECT dst, src, id FROM e WHERE type IN ('lives_in', 'in_region', 'located_in')), " + _hops("customer:7", 4, "b"),
+      "WHERE cur = 'region:1' ORDER BY len(es), es LIMIT 1")
+_path("shortest_path_stepped", {"op": "shortest_path", "id": "nation:3", "target_id": "nation:4", "depth": 4, "path": {"steps": [
+          {"direction": "in", "relation_types": ["located_in"]}, {"direction": "out", "relation_types": ["supplies"]},
+          {"direction": "in", "relation_types": ["supplies"]}, {"direction": "out", "relation_types": ["located_in"]}]}},
+      """p AS (SELECT [a.dst, a.src, b.dst, c.src, d.dst] AS vs, [a.id, b.id, c.id, d.id] AS es, d.dst AS cur
+               FROM e a JOIN e b ON a.src = b.src AND b.type = 'supplies' JOIN e c ON c.dst = b.dst AND c.type = 'supplies' AND c.src <> a.src
+               JOIN e d ON d.src = c.src AND d.type = 'located_in' AND d.dst = 'nation:4' WHERE a.type = 'located_in' AND a.dst = 'nation:3')""",
+      "ORDER BY es LIMIT 1")
+_query("scan_entities_source", "SELECT 'document:' || doc_id AS id, 'document' AS kind, source FROM documents WHERE source = 'src3' ORDER BY id LIMIT 100")(
+    lambda g: scan_entities(g, "document", "src3"))
+_query("scan_edges_type", "SELECT id, type, src AS \"from\", dst AS \"to\" FROM e WHERE type = 'placed' AND id > 'edge:8' ORDER BY id LIMIT 200", True)(
+    lambda g: scan_edges(g, "placed", after="edge:8", limit=200))
+_query("dedupe_canonical_edges", "SELECT type, count(*) AS edges, count(DISTINCT id) AS ids FROM e GROUP BY 1", True)(
+    lambda g: g.edges.df.groupBy("type").agg(F.count("*").alias("edges"), F.countDistinct("id").alias("ids")))

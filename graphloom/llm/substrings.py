@@ -274,7 +274,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = B.payloads(rows)
     candidates = B.stored(B.per_block(texts.unionByName(B.per_shard(B.parts(rows), recurring)), confirm(shards), B.PARTS), "windows")
     B.drop_parts(rows)
-    answers = B.per_shard(B.parts(candidates), first_places)
+    answers = B.parts(B.stored(B.per_shard(B.parts(candidates), first_places), "places"))
+    B.drop_parts(candidates)
     return B.per_block(texts.unionByName(answers).unionByName(B.notes(candidates)), cut, RESULT)
 
 

@@ -113,8 +113,8 @@ _frame("match_text_range", {"op": "match", "kind": "order", "where": [_flt("orde
 _frame("match_prefix", {"op": "match", "kind": "customer", "where": [_flt("name", "prefix", "Customer#00000001")], "project": ["name", "acctbal"]}, f"{_CUSTOMER} WHERE starts_with(c_name, 'Customer#00000001')")
 _frame("match_contains_text", {"op": "match", "kind": "document", "where": [_flt("text", "contains", "LICENSE")], "project": ["quality"]}, f"{_DOCUMENT} WHERE contains(lower(text), 'license')")
 _frame("match_contains_array", {"op": "match", "kind": "document", "where": [_flt("labels", "contains", "toxic")], "project": ["quality"]}, f"{_DOCUMENT} WHERE toxic = 1")
-_frame("match_fuzzy", {"op": "match", "kind": "part", "where": [_flt("ptype", "fuzzy", "sTl")], "project": ["ptype"]},
-       "SELECT 'part:' || p_partkey AS id, 'part' AS kind, p_type AS ptype FROM part WHERE lower(p_type) LIKE '%s%t%l%'")
+_frame("match_fuzzy", {"op": "match", "kind": "part", "where": [_flt("ptype", "fuzzy", "sTd")], "project": ["ptype"]},
+       "SELECT 'part:' || p_partkey AS id, 'part' AS kind, p_type AS ptype FROM part WHERE lower(p_type) LIKE '%s%t%d%'")
 _frame("match_exists", {"op": "match", "kind": "document", "where": [_flt("quality", "exists", False)], "project": ["quality"]}, f"{_DOCUMENT} WHERE quality IS NULL")
 _frame("match_bool_expr", {"op": "match", "kind": "customer", "where_expr": {"op": "and", "children": [
             {"op": "or", "children": [_flt("acctbal", "gte", 5000), _flt("mktsegment", "eq", "BUILDING")]},
@@ -206,16 +206,15 @@ _query("pattern_agg_end", "SELECT dst AS end_id, count(*) AS count FROM (SELECT
     lambda g: groups(g, {"op": "pattern", "kind": "customer", "path": {"steps": [{"relation_types": ["lives_in"]}, {"relation_types": ["in_region"]}]}, "group_by": ["end_id"]}))
 _path("path_project_end", {"op": "traverse", "id": "region:1", "direction": "in", "depth": 1, "project": ["name"]}, _BACK + ", " + _hops("region:1", 1, "i"))
 ORACLE["path_project_end"] = ORACLE["path_project_end"].replace("cur AS end_id FROM p", "cur AS end_id, n_name AS name FROM p JOIN nation ON cur = 'nation:' || n_nationkey")
-_path("shortest_path", {"op": "shortest_path", "id": "customer:7", "target_id": "region:1", "depth": 4, "relation_types": ["lives_in", "in_region", "located_in"]},
-      "b AS (SELECT src AS cur, dst AS nxt, id FROM e WHERE type IN ('lives_in', 'in_region', 'located_in') UNION ALL SELECT dst, src, id FROM e WHERE type IN ('lives_in', 'in_region', 'located_in')), " + _hops("customer:7", 4, "b"),
-      "WHERE cur = 'region:1' ORDER BY len(es), es LIMIT 1")
+_TWO_NATIONS = """p AS (SELECT [a.dst, a.src, b.dst, c.src, d.dst] AS vs, [a.id, b.id, c.id, d.id] AS es, d.dst AS cur
+               FROM e a JOIN e b ON a.src = b.src AND b.type = 'supplies' JOIN e c ON c.dst = b.dst AND c.type = 'supplies' AND c.src <> a.src
+               JOIN e d ON d.src = c.src AND d.type = 'located_in' AND d.dst = 'nation:4' WHERE a.type = 'located_in' AND a.dst = 'nation:3')"""
+# Over these two relations no path between two nations is shorter than four hops.
+_path("shortest_path", {"op": "shortest_path", "id": "nation:3", "target_id": "nation:4", "depth": 5, "relation_types": ["located_in", "supplies"]}, _TWO_NATIONS, "ORDER BY es LIMIT 1")
 _path("shortest_path_stepped", {"op": "shortest_path", "id": "nation:3", "target_id": "nation:4", "depth": 4, "path": {"steps": [
           {"direction": "in", "relation_types": ["located_in"]}, {"direction": "out", "relation_types": ["supplies"]},
           {"direction": "in", "relation_types": ["supplies"]}, {"direction": "out", "relation_types": ["located_in"]}]}},
-      """p AS (SELECT [a.dst, a.src, b.dst, c.src, d.dst] AS vs, [a.id, b.id, c.id, d.id] AS es, d.dst AS cur
-               FROM e a JOIN e b ON a.src = b.src AND b.type = 'supplies' JOIN e c ON c.dst = b.dst AND c.type = 'supplies' AND c.src <> a.src
-               JOIN e d ON d.src = c.src AND d.type = 'located_in' AND d.dst = 'nation:4' WHERE a.type = 'located_in' AND a.dst = 'nation:3')""",
-      "ORDER BY es LIMIT 1")
+      _TWO_NATIONS, "ORDER BY es LIMIT 1")
 _query("scan_entities_source", "SELECT 'document:' || doc_id AS id, 'document' AS kind, source FROM documents WHERE source = 'src3' ORDER BY id LIMIT 100")(
     lambda g: scan_entities(g, "document", "src3"))
 _query("scan_edges_type", "SELECT id, type, src AS \"from\", dst AS \"to\" FROM e WHERE type = 'placed' AND id > 'edge:8' ORDER BY id LIMIT 200", True)(

@@ -10,7 +10,8 @@ least 0.8 of the longer text matched, so a text with its parts in another order
 Groups are never paired out.  Equal texts are one vertex.  Each bucket compares its members with its first one
 (a star).  What that leaves in different components is compared within the bucket where a link is possible at all:
 the triangle inequality of the Jaccard distance must allow it, and the two must share one of the rarest k-mers of
-each (at similarity 0.8 two texts share one of the first 20 % of theirs, by any order).  A bucket of more than
+each (at similarity 0.8 two texts share one of the first 20 % of theirs, by any order).  Two texts that share several
+buckets are compared in the first of them.  A bucket of more than
 CHUNK members is split by those rarest k-mers into smaller ones that keep every possible link; if one doesn't get
 smaller, it loses its first member each round, which has then met all others.  So no link between bucket mates of
 different components is lost, whatever the size of a bucket.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.blocks import press, unpress
 from graphloom.llm.common import NO_ID, materialize, mix, roll, table, word_hashes
 
-K, SIMILARITY, SKETCHES, SMALLEST, CHUNK = 5, 0.8, 24, 4, 1000
+K, SIMILARITY, SKETCHES, SMALLEST, CHUNK = 5, 0.8, 24, 4, 4000
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -195,12 +196,13 @@ def prefix(size: int) -> int:
 
 
 def resolve(groups: DataFrame) -> DataFrame:
-    """Links (u, v) between different components within each (key, chunk): row, comp, far (from the bucket's first), data."""
+    """Links (u, v) between different components within each (key, chunk): bucket, row, comp, far (from the bucket's first), data, keys."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)
         texts = [Text(d) for d in pdf.data]
         far, comp, rows = pdf.far.to_numpy(), pdf.comp.to_numpy().copy(), pdf.row.to_numpy()
+        keys, bucket = np.stack(pdf["keys"].to_list()), pdf.bucket[0]
         owner = np.repeat(np.arange(len(texts)), [len(t.grams) for t in texts])
         _, gram, count = np.unique(np.concatenate([t.grams for t in texts]), return_inverse=True, return_counts=True)
         order = np.lexsort((gram, count[gram], owner))
@@ -221,7 +223,8 @@ def resolve(groups: DataFrame) -> DataFrame:
                 continue
             others = np.unique(np.concatenate(some))
             may = others[(comp[others] != comp[i]) & (np.abs(far[others] - far[i]) <= 1 - SIMILARITY + 1e-9)]
-            for j in may.tolist():
+            first_shared = (keys[may] == keys[i]).argmax(1)
+            for j in may[keys[i][first_shared] == bucket].tolist():
                 if comp[j] != comp[i] and linked(texts[j], texts[i], texts[j].far(texts[i])):
                     out.append((rows[j], rows[i]))
                     comp[comp == comp[i]] = comp[j]
@@ -231,7 +234,7 @@ def resolve(groups: DataFrame) -> DataFrame:
 
 
 def finer(state: DataFrame, texts: DataFrame) -> DataFrame:
-    """Buckets (key, row, comp, far) split by the members' rarest k-mers: members that can have a link share one."""
+    """Buckets (bucket, key, row, comp, far) split by the members' rarest k-mers: members that can have a link share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,7 +247,7 @@ def finer(state: DataFrame, texts: DataFrame) -> DataFrame:
     place = Window.partitionBy("key", "row").orderBy("n", "gram")
     least = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
     rarest = each.join(common, ["key", "gram"]).withColumn("place", F.row_number().over(place)).where((F.col("place") <= least) & (F.col("n") > 1))
-    return state.join(rarest.select("key", "row", "gram"), ["key", "row"]).select(F.xxhash64("key", "gram").alias("key"), "row", "comp", "far")
+    return state.join(rarest.select("key", "row", "gram"), ["key", "row"]).select("bucket", F.xxhash64("key", "gram").alias("key"), "row", "comp", "far")
 
 
 def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -266,7 +269,7 @@ def classes(docs: DataFrame) -> DataFrame:
     members = once.select("row", F.explode(F.array_distinct("keys")).alias("key"))
     size = members.groupBy("key").agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     buckets = materialize(members.join(size, "key"), "buckets")
-    texts = materialize(once.join(buckets.select("row").distinct(), "row", "left_semi").select("row", "data"), "candidates")
+    texts = materialize(once.join(buckets.select("row").distinct(), "row", "left_semi").select("row", "data", "keys"), "candidates")
     pairs = buckets.where("row != leader").select(F.col("leader").alias("u"), F.col("row").alias("v")).distinct()
     checked = materialize(verify(pairs, texts), "checked")
     edges = checked.where("link").select("u", "v")
@@ -278,10 +281,8 @@ def classes(docs: DataFrame) -> DataFrame:
     lead = comps.select(F.col("row").alias("leader"), F.col("comp").alias("lead"))
     state = state.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
     near = state.where("comp != lead").groupBy("key").agg(F.min("far").alias("near"))
-    state = left_over(state.join(near, "key").where((F.col("comp") != F.col("lead")) | (F.col("far") >= F.col("near") - (1 - SIMILARITY))).select("key", "row", "comp", "far"))
+    state = left_over(state.join(near, "key").where((F.col("comp") != F.col("lead")) | (F.col("far") >= F.col("near") - (1 - SIMILARITY))).select(F.col("key").alias("bucket"), "key", "row", "comp", "far"))
     state = materialize(state, "left_over")
-    alike = state.groupBy("key").agg(F.bit_xor(F.xxhash64("row")).alias("h"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-    state = state.join(alike.groupBy("h", "s", "n").agg(F.min("key").alias("key")).select("key"), "key")
     again, largest = 0, None
     while True:
         sized = state.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("head"))
@@ -294,14 +295,14 @@ def classes(docs: DataFrame) -> DataFrame:
             continue
         work = materialize(state.join(sized, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK)), "work")
         chunk = F.when((F.col("row") == F.col("head")) & (F.col("chunks") > 1), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", F.lit(again)), F.col("chunks"))))
-        groups = work.withColumn("chunk", F.explode(chunk)).join(texts, "row").select("key", "chunk", "row", "comp", "far", "data")
+        groups = work.withColumn("chunk", F.explode(chunk)).join(texts, "row").select("bucket", "key", "chunk", "row", "comp", "far", "data", "keys")
         found = materialize(resolve(groups), "links")
         edges = materialize(edges.unionByName(found), "all_links")
         comps = materialize(components(edges), "components") if found.head(1) else comps
         if most <= CHUNK:
             break
-        rest = left_over(with_component(work.where("chunks > 1 and row != head").select("key", "row", "far"), comps))
-        state = materialize(rest.select("key", "row", "comp", "far"), "left_over")
+        rest = left_over(with_component(work.where("chunks > 1 and row != head").select("bucket", "key", "row", "far"), comps))
+        state = materialize(rest.select("bucket", "key", "row", "comp", "far"), "left_over")
         again, largest = again + 1, None
 
     roots = with_component(first.select("one", "two", F.col("rep").alias("row")), comps).select("one", "two", "comp")

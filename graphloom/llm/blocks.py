@@ -103,7 +103,8 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
 
 def drop_parts(rows: DataFrame) -> None:
     """Deletes what a stored table sent to shards, once all have answered."""
-    remove(rows.sparkSession, rows.inputFiles()[0].rpartition("/kind=")[0] + "/kind=part")
+    if files := rows.inputFiles():
+        remove(rows.sparkSession, files[0].rpartition("/kind=")[0] + "/kind=part")
 
 
 def parts(rows: DataFrame) -> DataFrame:

@@ -410,6 +410,10 @@ def with_defaults(state: State, incoming: DataFrame) -> DataFrame:
     return incoming
 
 
+def _without(name: str) -> Column:
+    return F.map_filter("fields", lambda k, _v: k != name)
+
+
 @dataclass(frozen=True)
 class SourcePolicy:
     """default and sources: priorities.  aliases: (kind or "", alias, field).  fields: (source, kind or "", field, priority)."""
@@ -425,7 +429,7 @@ class SourcePolicy:
         out = incoming.withColumn("source_priority", ranked)
         for kind, alias, name in sorted(self.aliases, reverse=True):  # those of a kind before those of all
             here = F.map_contains_key("fields", alias) & (F.lit(True) if not kind else F.col("kind") == kind)
-            without = F.map_filter("fields", lambda k, _v, alias=alias: k != alias)
+            without = _without(alias)
             renamed = F.when(F.map_contains_key("fields", name), without).otherwise(F.map_concat(without, F.create_map(F.lit(name), F.col("fields")[alias])))
             out = out.withColumn("fields", F.when(here, renamed).otherwise(F.col("fields")))
         return out

@@ -6,10 +6,12 @@ of documents, the last what the mix takes of each document.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontamination, exact_dedup, mixing, near_dedup, quality
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import new_path, recorded, release, table, tidy
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,22 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [(f.__name__, f) for f in (good_quality, exact_copies, near_copies, benchmark_leaks, source_mix)]
+_LEFT: list[str] = []  # tables that the last stage's operator wrote
+
+
+def _stage(f):
+    """A stage whose predecessor's own tables go first: what the predecessor returned has been written by now."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _LEFT)
+        with recorded(_LEFT):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(f.__name__, _stage(f)) for f in (good_quality, exact_copies, near_copies, benchmark_leaks, source_mix)]
 
 #: SQL can't express the classifier, the sketches and the shuffled queues; tests hold each stage against a plain version.
 ORACLE_SQL = None
@@ -46,5 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path, kept = new_path(spark, name), stage(spark, docs, sf_dir)
+        with tidy(spark):
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return docs

@@ -32,8 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_RECORDS: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}/{name}"
+    for made in _RECORDS:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded(made: list[str]) -> Iterator[None]:
+    """Adds to made the folders that operators write meanwhile, so that they can go once nothing reads them."""
+    _RECORDS.append(made)
+    try:
+        yield
+    finally:
+        _RECORDS.pop()
+
+
+def release(spark: SparkSession, made: list[str]) -> None:
+    """Deletes folders that recorded() has listed."""
+    while made:
+        remove(spark, made.pop())
 
 
 @contextlib.contextmanager

@@ -283,11 +283,11 @@ def classes(docs: DataFrame) -> DataFrame:
     near = state.where("comp != lead").groupBy("key").agg(F.min("far").alias("near"))
     state = left_over(state.join(near, "key").where((F.col("comp") != F.col("lead")) | (F.col("far") >= F.col("near") - (1 - SIMILARITY))).select(F.col("key").alias("bucket"), "key", "row", "comp", "far"))
     state = materialize(state, "left_over")
-    again, largest = 0, None
+    again, largest = 0, None  # a bucket is split by its members' k-mers before the first round, as long as that helps
     while True:
         sized = state.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("head"))
         most = sized.agg(F.max("n")).first()[0] or 0
-        if most > CHUNK and (largest is None or most <= 0.8 * largest):
+        if most > CHUNK and not again and (largest is None or most <= 0.8 * largest):
             largest = most
             large = sized.where(F.col("n") > CHUNK).select("key")
             split_up = left_over(finer(state.join(large, "key", "left_semi"), texts))
@@ -303,7 +303,7 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         rest = left_over(with_component(work.where("chunks > 1 and row != head").select("bucket", "key", "row", "far"), comps))
         state = materialize(rest.select("bucket", "key", "row", "comp", "far"), "left_over")
-        again, largest = again + 1, None
+        again += 1
 
     roots = with_component(first.select("one", "two", F.col("rep").alias("row")), comps).select("one", "two", "comp")
     placed = sigs.select("row", "id", "tag", "one", "two", "n").join(roots.withColumn("has", F.lit(1)), ["one", "two"], "left")

@@ -6,10 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom.functions.values import VALUE, Value
+from graphloom.operators.governance import EntityType, State, missing_from_source, redirected, violations
 from graphloom.operators.query import aggregates, count_by, frame, groups, scan_edges, scan_entities
 from graphloom.plans.textdsl import parse_text
-from graphloom.sources.graph import Graph, RelationType
+from graphloom.sources.graph import Graph, RelationType, edge_id
 
 RELATIONS = {
     r.name: r
@@ -221,3 +224,106 @@ _query("scan_edges_type", "SELECT id, type, src AS \"from\", dst AS \"to\" FROM
     lambda g: scan_edges(g, "placed", after="edge:8", limit=200))
 _query("dedupe_canonical_edges", "SELECT type, count(*) AS edges, count(DISTINCT id) AS ids FROM e GROUP BY 1", True)(
     lambda g: g.edges.df.groupBy("type").agg(F.count("*").alias("edges"), F.countDistinct("id").alias("ids")))
+
+
+def _entities(df: DataFrame, kind: str, source: str, rank: float, sure: float, seq: int, **fields: F.Column) -> DataFrame:
+    """Entity writes of a table with columns id and external_id."""
+    packed = F.create_map(*(x for name, c in fields.items() for x in (F.lit(name), c)))
+    kept = F.map_filter(packed, lambda _k, v: v.isNotNull())
+    return df.select(
+        F.lit(seq).cast("long").alias("seq"), "id", F.lit(kind).alias("kind"), F.lit(source).alias("source"), "external_id", F.lit(float(sure)).alias("confidence"),
+        F.lit(float(rank)).alias("source_priority"), kept.alias("fields"), F.array().cast("array<string>").alias("replaced"),
+    )
+
+
+def _text(c: F.Column) -> F.Column:
+    return Value.of(c, T.StringType()).packed().cast(VALUE)
+
+
+def _number(c: F.Column) -> F.Column:
+    return Value.of(c, T.DoubleType()).packed().cast(VALUE)
+
+
+def _parties(spark: SparkSession, sf_dir: str):
+    """Customers as two sources see them: crm knows all, billing with higher priority those with orders."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    crm = read("customer").select(_id("party", "c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("external_id"), "c_name", "c_acctbal", "c_mktsegment")
+    billed = read("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.max("o_orderpriority").alias("priority"))
+    billed = billed.select(_id("party", "o_custkey").alias("id"), F.col("o_custkey").cast("string").alias("external_id"), "total", "priority")
+    tags = lambda *c: F.struct(F.lit("raw").alias("k"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("double").alias("n"), F.lit(None).cast("boolean").alias("b"), F.to_json(F.array(*c)).alias("j"))
+    one = _entities(crm, "party", "crm", 50, 0.9, 0, name=_text(F.col("c_name")), balance=_number(F.col("c_acctbal")), segment=_text(F.col("c_mktsegment")), tags=tags(F.lit("crm"), F.col("c_mktsegment")))
+    two = _entities(billed, "party", "billing", 100, 0.5, 1, balance=_number(F.col("total")), segment=_text(F.lit("")), priority=_text(F.col("priority")), tags=tags(F.col("priority"), F.lit("crm")))
+    three = _entities(crm, "party", "late", 10, 1.0, 2, name=_text(F.lit("late")), note=_text(F.lit("n")))
+    state = State.empty(spark).with_type(EntityType("party", fields={"tags": {"type": "array", "merge_strategy": "append_unique"}}))
+    return state.upsert(one.unionByName(two).unionByName(three))
+
+
+_BILLED = "WITH b AS (SELECT o_custkey, sum(o_totalprice) AS total, max(o_orderpriority) AS priority FROM orders GROUP BY 1)"
+
+
+def _governance(name: str, oracle: str):
+    def add(f):
+        QUERIES[name], ORACLE[name] = f, oracle
+        return f
+
+    return add
+
+
+@_governance("governance_field_merge", _BILLED + """
+    SELECT 'party:' || c_custkey AS id, c_name AS name, coalesce(total, c_acctbal) AS balance, c_mktsegment AS segment, priority, 'n' AS note, 'crm' AS source,
+           CASE WHEN total IS NULL THEN 50.0 ELSE 100.0 END AS source_priority
+    FROM customer LEFT JOIN b ON c_custkey = o_custkey""")
+def governance_field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("fields")
+    return _parties(spark, sf_dir)[0].entities.select("id", f["name"]["s"].alias("name"), f["balance"]["n"].alias("balance"), f["segment"]["s"].alias("segment"), f["priority"]["s"].alias("priority"), f["note"]["s"].alias("note"), "source", "source_priority")
+
+
+@_governance("governance_append_unique", _BILLED + """
+    SELECT 'party:' || c_custkey AS id, '["crm","' || c_mktsegment || '"' || CASE WHEN priority IS NULL THEN '' ELSE ',"' || priority || '"' END || ']' AS tags
+    FROM customer LEFT JOIN b ON c_custkey = o_custkey""")
+def governance_append_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parties(spark, sf_dir)[0].entities.select("id", F.col("fields")["tags"]["j"].alias("tags"))
+
+
+@_governance("governance_conflicts", """
+    SELECT 'name' AS field, 'late' AS incoming_source, count(*) AS n FROM customer
+    UNION ALL SELECT 'segment', 'billing', count(DISTINCT o_custkey) FROM orders""")
+def governance_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parties(spark, sf_dir)[1].groupBy("field", "incoming_source").agg(F.count("*").alias("n"))
+
+
+@_governance("entity_merge_redirect", """
+    SELECT 'edge:' || substr(sha256('supplies' || chr(0) || src || chr(0) || dst), 1, 32) AS id, src, dst
+    FROM (SELECT DISTINCT 'supplier:' || (l_suppkey // 2 * 2) AS src, 'part:' || l_partkey AS dst FROM lineitem)""")
+def entity_merge_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of odd key merge into their neighbour: their edges move, and those that fall together are one."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct()
+    edges = lines.select(F.lit("supplies").alias("type"), _id("supplier", "l_suppkey").alias("src"), _id("part", "l_partkey").alias("dst"))
+    rows = edges.withColumn("id", edge_id(F.col("type"), F.col("src"), F.col("dst")))
+    like = State.empty(spark).edges
+    missing = {c.name: F.lit(None).cast(c.dataType).alias(c.name) for c in like.schema if c.name not in rows.columns}
+    meta = {"source": F.lit("").alias("source"), "external_id": F.lit("").alias("external_id"), "confidence": F.lit(0.0).alias("confidence"), "source_priority": F.lit(0.0).alias("source_priority")}
+    rows = rows.select(*(meta.get(c, missing.get(c, F.col(c))) for c in like.columns))
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 2 = 1")
+    moves = keys.select(_id("supplier", "s_suppkey").alias("old"), F.concat(F.lit("supplier:"), (F.col("s_suppkey") - 1).cast("string")).alias("new"))
+    return redirected(rows, moves).select("id", "src", "dst")
+
+
+@_governance("full_sync_stale", "SELECT 'document:' || doc_id AS id FROM documents WHERE source = 'src3' AND doc_id % 2 = 1")
+def full_sync_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one source that a full sync didn't name."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    source = F.struct(F.col("source").alias("source"), F.col("doc_id").cast("string").alias("external_id"))
+    entities = docs.select(_id("document", "doc_id").alias("id"), F.lit("document").alias("kind"), F.array(source).alias("sources"))
+    observed = docs.where("source = 'src3' and doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("external_id"))
+    return missing_from_source(entities, "src3", observed, "document")
+
+
+@_governance("cardinality_violations", "SELECT 'edge:' || substr(sha256('made_by' || chr(0) || src || chr(0) || dst), 1, 32) AS id, 'made_by' AS type, 'violates cardinality' AS problem FROM (SELECT DISTINCT 'part:' || l_partkey AS src, 'supplier:' || l_suppkey AS dst FROM lineitem) QUALIFY count(*) OVER (PARTITION BY src) > 1")
+def cardinality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts have several suppliers, so a many-to-one relation from part to supplier is broken."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct()
+    edges = lines.select(F.lit("made_by").alias("type"), _id("part", "l_partkey").alias("src"), _id("supplier", "l_suppkey").alias("dst"))
+    edges = edges.withColumn("id", edge_id(F.col("type"), F.col("src"), F.col("dst")))
+    ends = edges.select(F.col("src").alias("id"), F.lit("part").alias("kind")).distinct().unionByName(edges.select(F.col("dst").alias("id"), F.lit("supplier").alias("kind")).distinct())
+    return violations(State(spark, ends, edges, {"made_by": RelationType("made_by", ("part",), ("supplier",), "many_to_one")}))

@@ -45,8 +45,8 @@ def features(text: str) -> np.ndarray:
 
 
 def code_words(n: int, seed: int = 11) -> np.ndarray:
-    """n code words of +1 and -1: all splits for up to five languages, else random distinct balanced columns."""
-    if n <= 5:
+    """n code words of +1 and -1: all splits for up to seven languages, else random distinct balanced columns."""
+    if n <= 7:  # of eight there are 35 balanced splits and 30 are wanted
         columns = [[1 if i == 0 else 1 - 2 * (k >> (i - 1) & 1) for i in range(n)] for k in range(1, 2 ** (n - 1))]
         return np.array(columns or [[1] * n]).T
     rng, columns = np.random.default_rng(seed), {}

@@ -31,6 +31,18 @@ def _id(kind: str, key: str) -> F.Column:
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
+_OPEN: dict[tuple[str, str], Graph] = {}
+
+
+def opened(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph over a folder's tables: plans only, made once for each application and folder, as a handle of one version is."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = build(spark, sf_dir)
+    return _OPEN[key]
+
+
 def build(spark: SparkSession, sf_dir: str) -> Graph:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     region, nation, customer, supplier, part, orders, lineitem = map(read, ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"))
@@ -85,7 +97,7 @@ _EDGES = """
 
 def _query(name: str, oracle: str | None, edges: bool = False):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(build(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(opened(spark, sf_dir))
         if oracle:
             ORACLE[name] = (f"WITH {_EDGES}\n" if edges else "") + oracle
         return f
@@ -174,7 +186,7 @@ _SHOW = "SELECT array_to_string(vs, '>') AS path, array_to_string(es, '>') AS ed
 
 
 def _path(name: str, request: dict, ctes: str, tail: str = "", limit: int | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: frame(build(spark, sf_dir), request, limit)
+    QUERIES[name] = lambda spark, sf_dir: frame(opened(spark, sf_dir), request, limit)
     ORACLE[name] = f"WITH {_EDGES}, {ctes} {_SHOW} {tail}"
 
 

@@ -18,7 +18,6 @@ from graphloom.functions.values import VALUE, Value
 from graphloom.plans.request import Filter
 
 META = {"source": "string", "external_id": "string", "confidence": "double", "source_priority": "double", "created_at": "string", "updated_at": "string"}
-LABELS = "__graphdb_labels"
 FIELDS = T.MapType(T.StringType(), VALUE)
 
 

@@ -170,6 +170,38 @@ def test_language_model_is_a_distribution():
     assert known > odd + 1
 
 
+def test_language_model_knows_the_order_of_words(spark):
+    """Words once each, all ending alike: only what follows what tells the texts apart."""
+    order = [a + b + "n" for a in "bcdfgklm" for b in "aeiou"]
+    turned = order[::-1]
+    rows = [(i, " ".join(order[i % 7 :] + order[: i % 7])) for i in range(300)]
+    held = [i for i, _ in rows if not fold(i, 10)]
+    rows = [(i, t if i != held[0] else " ".join(turned)) for i, t in rows]
+    got = {r["doc_id"]: r["score"] for r in language_model.score(table(spark, rows)).collect()}
+    assert min(got[i] for i in held[1:]) > got[held[0]] + 10
+
+
+def test_language_model_counts_the_running_text():
+    import numpy as np
+
+    texts = [language_model.tokens(t) for _, t, *_ in ROWS] + [[b"q" * 150, b"a", b"\x00", b"\x00\x00", b"b", b""]]
+    want = np.zeros((language_model.OFFSETS[-1], 2))
+    counts, heads = Counter(), Counter()
+    for t in texts:
+        tail = language_model.before(t)
+        kind = language_model.kind_of(tail)
+        for _, bit, slots, _, _ in language_model.Bits(t, kind, tail):
+            for s in slots:
+                np.add.at(want, (s, bit.astype(int)), 1)
+        counts.update(zip(t, kind.tolist()))
+        heads.update((tail << 17 | language_model.leads(t)).tolist())
+    words_ = sorted({w for w, _ in counts})
+    table_ = np.array([[counts[w, k] for k in range(language_model.KINDS)] for w in words_])
+    keys = np.array(sorted(heads))
+    got = language_model.count_contexts(words_, table_, (keys, np.array([heads[k] for k in keys.tolist()])))
+    assert np.array_equal(got, want)
+
+
 def brute_classes(rows):
     kept, parent = [], {}
     for n, (i, t, *_) in enumerate(rows):

@@ -202,6 +202,18 @@ def test_language_model_counts_the_running_text():
     assert np.array_equal(got, want)
 
 
+def test_language_model_learns_from_whole_texts():
+    """What comes after the first 30,000 tokens counts, and the sample grows."""
+    import numpy as np
+
+    long, more = words(31_000), [b"%d" % i for i in range(300)]
+    counts = np.ones((len(VOCABULARY), language_model.KINDS), int)
+    table_ = language_model.count_contexts([w.encode() for w in VOCABULARY], counts)
+    one, two = (language_model.learn(table_, t, 31_000) for t in ([[w.encode() for w in long]], [[w.encode() for w in long], more]))
+    assert not np.array_equal(one.weights, two.weights) and not np.array_equal(one.refined, two.refined)
+    assert [language_model.sample_size(n) for n in (10, 51_200, 512_000)] == [200, 200, 2000]
+
+
 def brute_classes(rows):
     kept, parent = [], {}
     for n, (i, t, *_) in enumerate(rows):

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from graphloom.functions.values import VALUE, Value
 from graphloom.operators.governance import EntityType, State, missing_from_source, redirected, violations
-from graphloom.operators.query import aggregates, count_by, frame, groups, scan_edges, scan_entities
+from graphloom.operators.query import aggregates, count_by, frame, groups, ranked, scan_edges, scan_entities
 from graphloom.plans.textdsl import parse_text
 from graphloom.sources.graph import Graph, RelationType, edge_id
 
@@ -143,6 +143,8 @@ _frame("match_any_kind", {"op": "match", "where": [_flt("acctbal", "gt", 9000)],
 _frame("match_sort_topk", {"op": "match", "kind": "customer", "where": [_flt("acctbal", "gte", 0)], "sort": [{"field": "acctbal", "desc": True}], "project": ["name", "acctbal"]},
        f"{_CUSTOMER} WHERE c_acctbal >= 0 ORDER BY c_acctbal DESC, id LIMIT 50", limit=50)
 _frame("match_sort_missing_last", {"op": "match", "kind": "document", "sort": [{"field": "quality"}], "project": ["quality"]}, f"{_DOCUMENT} ORDER BY quality NULLS LAST, id LIMIT 500", limit=500)
+_query("match_sort_missing_ranked", f"SELECT *, row_number() OVER (ORDER BY quality NULLS LAST, id) AS rank FROM ({_DOCUMENT})")(
+    lambda g: ranked(g, {"op": "match", "kind": "document", "sort": [{"field": "quality"}], "project": ["quality"]}))
 _frame("match_page2", {"op": "match", "kind": "customer", "sort": [{"field": "mktsegment"}], "project": ["name", "acctbal"]}, f"{_CUSTOMER} ORDER BY c_mktsegment, id LIMIT 40 OFFSET 40", limit=40, offset=40)
 _frame("text_find", 'FIND customer WHERE acctbal >= 9000 AND NOT mktsegment IN ["BUILDING"] PROJECT name, acctbal', f"{_CUSTOMER} WHERE c_acctbal >= 9000 AND c_mktsegment <> 'BUILDING'")
 

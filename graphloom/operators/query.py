@@ -113,6 +113,15 @@ def frame(g: Graph, request: dict | Request, limit: int | None = None, offset: i
     return out.join(ends, "end_id").select("path", "edges", "length", "end_id", *(native(values[n]).alias(n) for n in names))
 
 
+def ranked(g: Graph, request: dict | Request) -> DataFrame:
+    """frame() of all that a match matches, with each row's rank (from 1) in the order of the request."""
+    r = parse(request)
+    rs = rows(g, r)
+    df = rs.df.orderBy(*ordered(rs, r)).select("id", "kind", *(c.alias(n) for n, c in projected(g, r, rs)))
+    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))  # by ranges of the order, not in one window
+    return df.sparkSession.createDataFrame(numbered, T.StructType([*df.schema.fields, T.StructField("rank", T.LongType(), False)]))
+
+
 def _aggregate(rs: Rows, op: str, name: str) -> Column:
     if op == "count":
         return F.count(F.lit(1))

@@ -187,3 +187,18 @@ def test_number_text(spark):
     values = {0.0: "0", 8.0: "8", -3.5: "-3.5", 1e6: "1e+06", 1234567.0: "1.234567e+06", 123456789.0: "1.23456789e+08", 1e21: "1e+21", 0.0001: "0.0001", 0.00012: "0.00012", 0.00001: "1e-05", 999999.0: "999999", 2500000.5: "2.5000005e+06", 1e100: "1e+100"}
     rows = spark.createDataFrame([(k,) for k in values], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
     assert {r["x"]: r["t"] for r in rows} == values and all(python_text(k) == v for k, v in values.items())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_rows_without_the_sort_field_come_last_over_the_whole_table(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    from graphloom import demo
+
+    folder = f"/root/testdata/{sf}"
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    want = db.execute(demo.ORACLE["match_sort_missing_ranked"]).fetchall()
+    got = [tuple(r) for r in demo.QUERIES["match_sort_missing_ranked"](spark, folder).collect()]
+    assert sorted(got, key=lambda r: r[3]) == sorted(want, key=lambda r: r[3])
+    assert {r[2] for r in got} == {0.0, 1.0, None} and len(got) == db.execute("SELECT count(*) FROM documents").fetchone()[0]

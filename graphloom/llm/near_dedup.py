@@ -2,7 +2,8 @@
 
 A document's k-mers are its runs of five words, each labelled with its occurrence number.  A sketch takes, for
 each of 24 hash functions, the four smallest labelled k-mers and keeps them in text order; documents that share
-one of these become candidates.  Two documents at similarity 0.8 share none with probability 3e-6.
+one of these become candidates.  Two long documents at similarity 0.8 share none with probability 3e-6; short ones
+more often (8 of 10 k-mers in common: 6e-5; 4 of 5: 0.47 %).
 
 Verification: labelled k-mers agree to 0.8 or more (Jaccard), and a banded alignment of the words leaves at
 least 0.8 of the longer text matched, so a text with its parts in another order is no copy.

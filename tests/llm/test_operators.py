@@ -421,3 +421,47 @@ def test_warc(spark, tmp_path):
 
 def test_queries_are_registered():
     assert sum(name.startswith("op") for name in Q.QUERIES) == 10 and "pipeline" in Q.QUERIES
+
+
+def test_pipeline_stages(spark, empty, tmp_path):
+    """Each stage of the pipeline against brute force over what the stage before it returned; run() gives the same rows."""
+    import corpus_pipeline
+
+    junk = lambda: " ".join(w.upper() + "!!" for w in words(40))
+    rows = ROWS + [(1000 + i, junk() if i % 5 == 0 else " ".join(words(60)) + ".", "en", "abc"[i % 3]) for i in range(300)]
+    item = BASE.split()[50:75]
+    folder, bare = str(tmp_path / "some"), str(tmp_path / "none")
+    for path, docs, none in ((folder, table(spark, rows), False), (bare, empty, True)):
+        labels = spark.createDataFrame([(1000 + i, int(i % 5 != 0), 0) for i in range(0, 300, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+        bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (None, "...")], "item_id long, text string")
+        for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            (df.where("false") if none else df).write.parquet(f"{path}/{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, left, stages = docs.columns, {}, {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+        out = stage(spark, docs, folder)
+        out.write.parquet(path := str(tmp_path / name))
+        docs = spark.read.schema(out.schema).parquet(path)
+        stages[name], left[name] = before, docs.collect()
+        assert name == "source_mix" or docs.columns == columns
+    ids = {name: Counter(r["doc_id"] for r in got) for name, got in left.items()}
+
+    assert sum(i is not None and i >= 1000 and i % 5 != 0 for i in ids["good_quality"]) > 235 and sum(i is not None and i >= 1000 and i % 5 == 0 for i in ids["good_quality"]) < 5
+    groups = defaultdict(list)
+    for i, t, _ in stages["exact_copies"]:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    assert ids["exact_copies"] == Counter(min((i for i in g if i is not None), default=None) for g in groups.values())
+    near, kept = brute_classes(stages["near_copies"])
+    least = [min(kept[m][0] for m in members) for members in near.values()]
+    assert ids["near_copies"] == Counter(None if i == 10**18 else i for i in least)
+    windows = [item[s : s + 10] for s in range(len(item) - 9)]
+    has = lambda t: any(w[p : p + 10] in windows for w in [low(t).split()] for p in range(len(w)))
+    assert ids["benchmark_leaks"] == Counter(i for i, t, _ in stages["benchmark_leaks"] if not has(t)) and any(has(t) for _, t, _ in stages["benchmark_leaks"])
+    size = Counter()
+    for _, t, s in stages["source_mix"]:
+        size[s] += len(split(t))
+    assert ids["source_mix"] == ids["benchmark_leaks"] and all(r["source_size"] == size[r["source"]] and r["taken"] in (0, r["size"], 2 * r["size"]) for r in left["source_mix"])
+
+    assert Counter(map(str, corpus_pipeline.run(spark, folder).collect())) == Counter(map(str, left["source_mix"]))
+    assert corpus_pipeline.run(spark, bare).count() == 0

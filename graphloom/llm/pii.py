@@ -12,6 +12,7 @@ empty table gives an empty result; other columns are not read.  Spans are in cod
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -171,10 +172,12 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     m = deobfuscated(text)
     if m.text == text:
         return []
+    starts, ends = ([[b[i] for b in base if b[0] == kind] for kind in range(len(KINDS))] for i in (1, 2))
     out = []
     for kind, s, e in detect(m.text):
         s, e = m.source(s, e)
-        if not any(k == kind and s < y and x < e for k, x, y in base):
+        before = bisect.bisect_left(starts[kind], e) - 1  # base spans are sorted and apart: the last that starts before e reaches furthest
+        if before < 0 or ends[kind][before] <= s:
             out.append((kind, s, e))
     return out
 

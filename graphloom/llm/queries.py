@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from graphloom.llm import pipeline
 from graphloom.llm.decontamination import op7_winnowing_decontamination
 from graphloom.llm.exact_dedup import op1_exact_dedup
 from graphloom.llm.language import op6_language_id
@@ -29,7 +29,7 @@ QUERIES = {
         op10_order_minhash,
     )
 }
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 
 ORACLE = {
     "op1_exact_dedup": r"""

@@ -38,11 +38,17 @@ END = gzip.compress(b"", 9, mtime=0)
 CAPTURE = "surt string, page_id long, file string, offset long, length long, record_type string, payload_digest string, payload_bytes long, refers_to long, checked boolean"
 
 
+def header(url: str | None) -> str:
+    """A URL as a record's header holds it."""
+    return re.sub(r"[\r\n]", " ", url or "").strip() or "-"
+
+
 def surt(url: str | None) -> str:
-    """Reversed host, port, path and query of a URL, lower-cased but for the path."""
-    m = re.match(r"(?i)(?:([a-z][a-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)", url or "")
+    """Reversed host, port, path and query of a URL, lower-cased but for the path; line ends are blanks, as in a record."""
+    url = header(url)
+    m = re.match(r"(?i)(?:([a-z][a-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(:\d+)?([^#]*)", url)
     if not m:
-        return url or "-"
+        return url
     host = re.sub(r"^www\d*\.", "", m[2].lower())
     port = "" if m[3] in (None, ":80", ":443") else m[3]
     return ",".join(reversed(host.split("."))) + port + ")" + (m[4] or "/")
@@ -67,7 +73,7 @@ def revisits(seen: DataFrame) -> DataFrame:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
     """One record, compressed."""
     name = "none" if page_id is None else page_id
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Target-URI: {re.sub(r'[\r\n]', ' ', url or '-')}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Target-URI: {header(url)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8"]
     if first is not None:
         refers = "none" if first == NO_ID else first

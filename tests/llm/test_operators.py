@@ -17,6 +17,12 @@ R = random.Random(5)
 VOCABULARY = ["".join(R.choice("aeioutrnsl") for _ in range(R.randint(1, 7))) for _ in range(400)]
 
 
+@pytest.fixture(autouse=True)
+def seeded(request):
+    """Every test draws its own data, whatever ran before it."""
+    R.seed(zlib.crc32(request.node.name.encode()))
+
+
 def words(n):
     return [R.choice(VOCABULARY) for _ in range(n)]
 
@@ -303,6 +309,31 @@ def test_personal_data(spark, docs, empty):
     assert pii.find(empty).count() == 0 and pii.find(docs).count() == len(ROWS)
 
 
+def test_personal_data_in_a_long_contact_list():
+    """A text ten times as long takes about ten times as long."""
+    import time
+
+    def took(n):
+        text = "".join(f"u{i}@mail{i}.com, 10.0.{i % 256}.{i // 256 % 256}; " for i in range(n)) + "joe (at) mail [dot] org"
+        began = time.perf_counter()
+        base = pii.detect(text)
+        more = pii.added(text, base)
+        assert len(base) == 2 * n and len(more) == 1
+        return time.perf_counter() - began
+
+    took(300)
+    assert took(30_000) < 40 * took(3000)
+
+
+def test_added_spans_as_by_comparing_all():
+    for _ in range(300):
+        text = " ".join(R.choice(["a@b.co", "joe (at) x [dot] org", "1.2.3.4", "10 dot 0 dot 0 dot 1", "and", "+1 555 123 4567", "plus one five five five one two three four"]) for _ in range(R.randrange(12)))
+        base, m = pii.detect(text), pii.deobfuscated(text)
+        want = [(k, *m.source(s, e)) for k, s, e in pii.detect(m.text)]
+        want = [x for x in want if not any(x[0] == k and x[1] < e and s < x[2] for k, s, e in base)]
+        assert pii.added(text, base) == (want if m.text != text else [])
+
+
 def test_base_patterns_as_regular_expressions():
     """Random strings over the patterns' characters: the linear detectors find what the plain patterns find."""
     email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -379,6 +410,39 @@ def test_quality(spark, empty):
     assert quality.score(empty, quality.learned(empty, bare)).count() == 0
 
 
+@pytest.mark.parametrize("token", ["x" * 30_000, "é" * 300_000, "| " * 100_000])
+def test_quality_with_one_extreme_text(spark, token):
+    """One text without blanks, however long, leaves the others' scores as good."""
+    rows = [(i, " ".join([R.choice(VOCABULARY)] * 40) if i % 5 == 0 else " ".join(words(60)) + ".") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 600, 2)], "doc_id long, quality int")
+    docs = table(spark, [*rows, (1001, token)])
+    model = quality.learned(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert sum((got[i] >= 0.3) == (i % 5 != 0) for i in range(600)) > 590 and 0.7 < model.prior <= 0.9
+
+
+def test_class_prior_needs_no_negatives():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        good = lambda n: np.c_[rng.normal(2, 1, (n, 3)), np.ones(n)]
+        u = np.r_[good(int(4000 * share)), np.c_[rng.normal(-2, 1, (4000 - int(4000 * share), 3)), np.ones(4000 - int(4000 * share))]]
+        assert abs(quality.class_prior(good(2000), u, rng) - share) < 0.05
+
+
+def test_quality_query_by_rows(spark, tmp_path):
+    """The columns of the query are those of the operator, row by row."""
+    rows = [(i, " ".join([R.choice(VOCABULARY)] * 40) if i % 5 == 0 else " ".join(words(60)) + ".") for i in range(300)] + [(None, None), (301, "")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op4_quality_classifier(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert all(r["held_out"] == (fold(r["doc_id"], 5) == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 300]
+    assert sum(r["predicted"] == (r["doc_id"] % 5 != 0) for r in held) > 0.97 * len(held)
+
+
 def test_language(spark, empty):
     tongues = {"de": "der die und ich nicht mit schön über", "en": "the and of that with this have", "fr": "le la et que été dans une très", "it": "il che di non una per sono più", "nl": "de het een van niet met zijn ook", "pl": "się nie jest że na który być może"}
     rows = [(i, " ".join(R.choice(t.split()) for _ in range(25)), k) for i, (k, t) in enumerate(list(tongues.items()) * 40)] + [(900, None, "de"), (901, "123 !", "de"), (902, "", "en"), (903, "der", None), (None, "the and", "en")]
@@ -425,7 +489,7 @@ def test_queries_are_registered():
 
 def test_pipeline_stages(spark, empty, tmp_path):
     """Each stage of the pipeline against brute force over what the stage before it returned; run() gives the same rows."""
-    import corpus_pipeline
+    from graphloom.llm import pipeline as corpus_pipeline
 
     junk = lambda: " ".join(w.upper() + "!!" for w in words(40))
     rows = ROWS + [(1000 + i, junk() if i % 5 == 0 else " ".join(words(60)) + ".", "en", "abc"[i % 3]) for i in range(300)]

@@ -101,6 +101,70 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
 
 
+#: A key with more than 1 / HOT of all rows is hot; there are less than HOT of them, whatever the input.
+HOT = 1000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """keys, salts: over how many tasks to deal each hot key.  counts: keys, n (rows of the key); at most HOT rows are returned."""
+    share = max(1, total // HOT)
+    return counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).alias("salts"))
+
+
+def dealt(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """big joined with small on keys, hot keys of big dealt over several tasks by the column `by`.
+
+    small's rows of a hot key are repeated for each of its tasks, less than 2 * HOT times in all if it has one for each key."""
+    held = F.broadcast(hot)  # less than HOT rows
+    left = big.join(held, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")), F.lit(0).cast("long"))).drop("salts")
+    right = small.join(held, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts") - 1, F.lit(0).cast("long"))))).drop("salts")
+    return left.join(right, [*keys, "salt"], how).drop("salt")
+
+
+def filter_bits(n: int, most: int = 18) -> int:
+    """log2 of the 64-bit words that a Bloom filter of n hashes takes at about 12 bits each; at most `most`, which bounds its size."""
+    return int(min(most, max(4, np.ceil(np.log2(max(n, 1) * 12 / 64)))))
+
+
+def filter_word(h: str, bits: int) -> Column:
+    return F.shiftrightunsigned(F.col(h), 64 - bits)
+
+
+def filter_mask(h: str) -> Column:
+    """The three bits of a hash within its word."""
+    return F.expr(" | ".join(f"shiftleft(1L, cast(shiftright({h}, {6 * i}) & 63 as int))" for i in range(3)))
+
+
+def bloom(hashes: DataFrame, h: str, bits: int) -> DataFrame:
+    """word, mask of a Bloom filter: at most 2**bits rows, whatever hashes holds; words without a bit are left out."""
+    return hashes.select(filter_word(h, bits).alias("word"), filter_mask(h).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+
+
+def may_hold(rows: DataFrame, h: str, words: DataFrame, bits: int, how: str = "left_semi") -> DataFrame:
+    """rows whose hash the filter may hold (left_anti: can't hold); its size is bounded, so it is broadcast."""
+    held = F.broadcast(words.select(F.col("word").alias("__word"), F.col("mask").alias("__mask")))
+    own = filter_mask(h)
+    return rows.join(held, (filter_word(h, bits) == F.col("__word")) & (F.col("__mask").bitwiseAND(own) == own), how)
+
+
+def text_tag(text: str = "text") -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(text, F.col(text).isNull())
+
+
+def one_of_each(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that stay.  decided: id (null as NO_ID), tag (text_tag), stays (boolean) of each row of docs."""
+    on = ["__id", "__tag"]
+    named = decided.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "stays")
+    gone = named.where("not stays").select(*on).distinct()
+    again = materialize(gone.join(named.where("stays").select(*on), on, "left_semi"), "repeats")  # rows that repeat id and text
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__tag": text_tag()})
+    left = rows.join(gone.join(again, on, "left_anti"), on, "left_anti")
+    if again.head(1):
+        left = left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(on))
+    return left.drop(*on)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 

@@ -3,10 +3,12 @@
 * Memtables: each task gathers digests in a table of bounded size and flushes it as a sorted run of
   (digest, smallest id, count).  Runs are Parquet files with Bloom filters on the digest, so that point
   lookups skip runs and row groups that can't hold it.
-* Compaction merges all runs into one level that is sorted by digest and keeps the smallest identifier
-  of each digest.  Copies meet as one row of each run, so a text with very many copies is no hot key.
-* Hits (digests of more than one row) receive byte verification against the text that stays; digests
-  that two different texts share are told apart by their SHA-256.
+* Compaction merges the sorted runs, range by range, into one level that keeps the smallest identifier of
+  each digest.  Copies meet as one row of each run, so a text with very many copies is no hot key.
+* Hits are found through the level: a Bloom filter of the digests that it counts more than once (of bounded
+  size) passes by the rows that can't be one; the others are looked up, hot digests over several tasks.
+* Hits receive byte verification: each task sends the distinct texts of a digest that it holds once, however
+  many rows have them.  Digests that two different texts share are told apart by their SHA-256.
 
 Defined cases: null text is empty, and empty texts are equal; a null doc_id sorts after every id;
 of rows that repeat both id and text one stays; an empty table gives an empty result; other columns
@@ -22,18 +24,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import NO_ID, materialize, new_path, normalized, table
+from graphloom.llm.common import NO_ID, bloom, dealt, filter_bits, hot_keys, materialize, may_hold, new_path, normalized, one_of_each, table, text_tag
 
 RUN = "digest long, id long, row long, n long"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """row (distinct), doc_id, id (doc_id, null last), digest, text_sha256 of each row."""
-    text = docs.select("doc_id", normalized(F.col("text")).alias("norm"))
+    """row (distinct), doc_id, id (doc_id, null last), tag, digest, text_sha256 of each row."""
+    text = docs.select("doc_id", text_tag().alias("tag"), normalized(F.col("text")).alias("norm"))
     return text.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        "tag",
         F.xxhash64("norm").alias("digest"),
         F.sha2("norm", 256).alias("text_sha256"),
     )
@@ -90,9 +93,19 @@ class DigestIndex:
 
     def compact(self) -> DataFrame:
         """Merges all runs into one level, sorted by digest; the smallest identifier of each digest stays."""
-        least = F.min(F.struct("id", "row")).alias("least")
-        level = self.read().groupBy("digest").agg(least, F.sum("n").alias("n")).select("digest", "least.id", "least.row", "n")
-        self.runs = [self._write(level.sortWithinPartitions("digest"), f"level-{len(self.runs)}")]
+
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: tuple[np.ndarray, ...] | None = None  # the last digest, which the next batch may go on with
+            for b in batches:
+                part = [b[c].to_numpy() for c in ("digest", "id", "row", "n")]
+                done = merge_runs(*(part if held is None else [np.r_[x, y] for x, y in zip(held, part, strict=True)]))
+                held = tuple(x[-1:] for x in done)
+                yield pd.DataFrame(dict(zip(("digest", "id", "row", "n"), (x[:-1] for x in done), strict=True)))
+            if held is not None:
+                yield pd.DataFrame(dict(zip(("digest", "id", "row", "n"), held, strict=True)))
+
+        runs = self.read().repartitionByRange("digest").sortWithinPartitions("digest", "id", "row")
+        self.runs = [self._write(runs.mapInPandas(merge, RUN), f"level-{len(self.runs)}")]
         return self.read()
 
     def lookup(self, digest: int) -> list[tuple[int, int]]:
@@ -100,47 +113,43 @@ class DigestIndex:
         return [(r["id"], r["n"]) for r in self.read().where(F.col("digest") == digest).groupBy().agg(F.min("id").alias("id"), F.sum("n").alias("n")).collect() if r["n"]]
 
 
-def unequal(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """The digests among hits that not all texts share byte by byte with the one that stays."""
-    text = docs.select(normalized(F.col("text")).alias("norm"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
-    members = text.withColumn("digest", F.xxhash64("norm")).join(hits.select("digest", F.col("id").alias("keep")), "digest")
-    keepers = members.where("id = keep").groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    return members.join(keepers, "digest").where("norm != kept_norm").select("digest").distinct()
+def unequal(texts: DataFrame) -> DataFrame:
+    """The digests whose texts aren't all the same, byte by byte.  texts: digest, norm."""
+    return texts.groupBy("digest").agg(F.collect_set("norm").alias("texts")).where(F.size("texts") > 1).select("digest")
 
 
 def decide(docs: DataFrame, memtable_rows: int = 1 << 18) -> DataFrame:
-    """row, doc_id, digest, text_sha256, keep_id, group_size, kept of each row of docs."""
+    """row, doc_id, id, tag, digest, text_sha256, keep_id, group_size, kept of each row of docs."""
     sigs = materialize(signatures(docs), "signatures")
     index = DigestIndex(docs.sparkSession, memtable_rows=memtable_rows)
     index.flush(sigs)
     hits = materialize(index.compact().where("n > 1"), "hits")
-    clash = materialize(unequal(docs, hits), "clashes")
-    sigs = sigs.withColumn("sub", F.lit(""))
+    total, n_hits = sigs.count(), hits.count()
+    bits = filter_bits(n_hits)
+    words = materialize(bloom(hits, "digest", bits), "filter")
+    norm = docs.select(normalized(F.col("text")).alias("norm")).withColumn("digest", F.xxhash64("norm"))
+    clash = materialize(unequal(may_hold(norm, "digest", words, bits)), "clashes")
+    found = may_hold(sigs, "digest", words, bits).withColumn("sub", F.lit(""))
     hits = hits.withColumn("sub", F.lit(""))
     if clash.head(1):
-        sigs = sigs.join(clash.withColumn("split", F.lit(True)), "digest", "left").withColumn("sub", F.when(F.col("split"), F.col("text_sha256")).otherwise("")).drop("split")
-        apart = sigs.where("sub != ''").groupBy("digest", "sub").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("n"))
+        found = found.join(clash.withColumn("split", F.lit(True)), "digest", "left").withColumn("sub", F.when(F.col("split"), F.col("text_sha256")).otherwise("")).drop("split")
+        apart = found.where("sub != ''").groupBy("digest", "sub").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("n"))
         hits = hits.join(clash, "digest", "left_anti").unionByName(apart.select("digest", "least.id", "least.row", "n", "sub"))
     keep = hits.select("digest", "sub", F.col("id").alias("keep"), F.col("row").alias("keep_row"), "n")
-    out = sigs.join(keep, ["digest", "sub"], "left")
+    found = dealt(found, keep, ["digest", "sub"], hot_keys(hits, ["digest", "sub"], total), "row", "left")
+    plain = may_hold(sigs, "digest", words, bits, "left_anti")
+    out = found.drop("sub").unionByName(plain.withColumns({"keep": F.lit(None).cast("long"), "keep_row": F.lit(None).cast("long"), "n": F.lit(None).cast("long")}))
     keep_id = F.when(F.col("keep").isNull(), F.col("doc_id").cast("long")).when(F.col("keep") != NO_ID, F.col("keep"))
     return out.select(
-        "row", "doc_id", "digest", "text_sha256", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        "row", "doc_id", "id", "tag", "digest", "text_sha256", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"),
     )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    done = materialize(decide(docs), "decisions")
-    drop = done.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    again = materialize(done.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "repeats")
-    rows = docs.withColumn("__text_sha", F.sha2(normalized(F.col("text")), 256))
-    same = lambda d: F.col("doc_id").eqNullSafe(d["__id"]) & (F.col("__text_sha") == d["__sha"])
-    left = rows.join(drop, same(drop), "left_anti")
-    if again.head(1):  # rows that repeat id and text
-        left = left.join(again, same(again), "left_anti").unionByName(left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__text_sha"]))
-    return left.drop("__text_sha")
+    done = materialize(decide(docs).select("id", "tag", F.col("kept").alias("stays")), "decisions")
+    return one_of_each(docs, done)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:

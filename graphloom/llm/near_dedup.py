@@ -12,10 +12,11 @@ Groups are never paired out.  Equal texts are one vertex.  Each bucket compares
 (a star).  What that leaves in different components is compared within the bucket where a link is possible at all:
 the triangle inequality of the Jaccard distance must allow it, and the two must share one of the rarest k-mers of
 each (at similarity 0.8 two texts share one of the first 20 % of theirs, by any order).  Two texts that share several
-buckets are compared in the first of them.  A bucket of more than
-CHUNK members is split by those rarest k-mers into smaller ones that keep every possible link; if one doesn't get
-smaller, it loses its first member each round, which has then met all others.  So no link between bucket mates of
-different components is lost, whatever the size of a bucket.
+buckets are compared in the first of them.  A task holds at most CHUNK members, of which each weighs one and one more
+for every WEIGHT bytes of packed text.  A heavier bucket is split by those rarest k-mers into smaller ones that keep every
+possible link; if one doesn't get smaller, half of what a task holds are heads that meet all others in pieces and then
+leave the bucket, round by round.  So no link between bucket mates of different components is lost, whatever the size of
+a bucket; and keys and leaders that very many rows have are dealt over several tasks.
 
 Defined cases: null and empty texts (no words) are classes of their own; texts of fewer than five words are one
 k-mer; a null doc_id sorts after every id, and a class of such rows has class id null; repeated rows are equal
@@ -34,9 +35,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.blocks import press, unpress
-from graphloom.llm.common import NO_ID, materialize, mix, roll, table, word_hashes
+from graphloom.llm.common import NO_ID, dealt, hot_keys, materialize, mix, one_of_each, roll, table, text_tag, word_hashes
 
-K, SIMILARITY, SKETCHES, SMALLEST, CHUNK = 5, 0.8, 24, 4, 4000
+K, SIMILARITY, SKETCHES, SMALLEST, CHUNK, WEIGHT = 5, 0.8, 24, 4, 4000, 4096
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
 
 
@@ -127,11 +128,6 @@ def linked(x: Text, y: Text, far: float) -> bool:
 SIGNATURE = "row long, id long, tag long, one long, two long, n long, keys array<long>, data binary"
 
 
-def tag() -> Column:
-    """Tells apart the texts of rows that share a doc_id."""
-    return F.xxhash64("text", F.col("text").isNull())
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """row (distinct), id (null last), 128-bit hash of the words, their number, sketch and packed text of each row."""
 
@@ -150,7 +146,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("tag"), *map(pa.array, out, kinds)], ["row", "id", "tag", "one", "two", "n", "keys", "data"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tag().alias("tag"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_tag().alias("tag"), "text")
     return materialize(rows.mapInArrow(run, SIGNATURE), "sketches")
 
 
@@ -168,8 +164,11 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 link.append(linked(x, y, far[-1]))
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(far, pa.float64()), pa.array(link, pa.bool_())], ["u", "v", "far", "link"])
 
-    both = pairs.join(texts.select(F.col("row").alias("v"), F.col("data").alias("of_v")), "v").join(texts.select(F.col("row").alias("u"), F.col("data").alias("of_u")), "u")
-    return both.select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long, far double, link boolean")
+    leaders = materialize(pairs.groupBy("u").agg(F.count("*").alias("n")), "leaders")
+    hot = hot_keys(leaders, ["u"], leaders.agg(F.sum("n")).first()[0] or 0)
+    one = pairs.join(texts.select(F.col("row").alias("v"), F.col("data").alias("of_v")), "v")
+    both = dealt(one, texts.join(leaders.select(F.col("u").alias("row")), "row", "left_semi").select(F.col("row").alias("u"), F.col("data").alias("of_u")), ["u"], hot, "v")
+    return both.sortWithinPartitions("u").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long, far double, link boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,10 +177,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.greatest("v", "m").alias("hi"), F.least("v", "m").alias("lo")).where("hi != lo").distinct()
-        small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(small_least, "hi").where("lo != m").select(F.col("lo").alias("u"), F.col("m").alias("v"))
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "least")
+        total = 2 * e.count()
+        large = dealt(both, least.select("u", "m"), ["u"], hot_keys(least, ["u"], total), "v").where("v > u").select(F.greatest("v", "m").alias("hi"), F.least("v", "m").alias("lo")).where("hi != lo").distinct()
+        large = materialize(large, "large")
+        small_least = materialize(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "small_least")
+        small = dealt(large, small_least.select("hi", "m"), ["hi"], hot_keys(small_least, ["hi"], total), "lo").where("lo != m").select(F.col("lo").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(small_least.select(F.col("hi").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
         new = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
@@ -235,7 +236,7 @@ def resolve(groups: DataFrame) -> DataFrame:
 
 
 def finer(state: DataFrame, texts: DataFrame) -> DataFrame:
-    """Buckets (bucket, key, row, comp, far) split by the members' rarest k-mers: members that can have a link share one."""
+    """Buckets (bucket, key, row, comp, far, weight) split by the members' rarest k-mers: members that can have a link share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,11 +245,30 @@ def finer(state: DataFrame, texts: DataFrame) -> DataFrame:
 
     held = state.join(texts, "row").select("key", "row", "data").mapInArrow(run, "key long, row long, grams array<long>")
     each = materialize(held.select("key", "row", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "grams")
-    common = each.groupBy("key", "gram").agg(F.count("*").alias("n"))
+    common = materialize(each.groupBy("key", "gram").agg(F.count("*").alias("n")), "common")
     place = Window.partitionBy("key", "row").orderBy("n", "gram")
     least = F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9) + 1
-    rarest = each.join(common, ["key", "gram"]).withColumn("place", F.row_number().over(place)).where((F.col("place") <= least) & (F.col("n") > 1))
-    return state.join(rarest.select("key", "row", "gram"), ["key", "row"]).select("bucket", F.xxhash64("key", "gram").alias("key"), "row", "comp", "far")
+    counted = dealt(each, common, ["key", "gram"], hot_keys(common, ["key", "gram"], each.count()), "row")
+    rarest = counted.withColumn("place", F.row_number().over(place)).where((F.col("place") <= least) & (F.col("n") > 1))
+    return state.join(rarest.select("key", "row", "gram"), ["key", "row"]).select("bucket", F.xxhash64("key", "gram").alias("key"), "row", "comp", "far", "weight")
+
+
+def dealt_rounds(state: DataFrame, sized: DataFrame, turn: int) -> DataFrame:
+    """state with w, head and in_chunks: a bucket that one task can hold is one chunk; of a heavier one members of about
+    CHUNK / 2 by weight are heads, which are in all chunks, and each other member is in one of them.
+
+    sized: key, w (weight), n of each bucket.  What is drawn differs from turn to turn."""
+    draw = F.pmod(F.xxhash64("row", "key", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)
+    heavy = F.col("w") > CHUNK
+    drawn = state.withColumn("draw", draw)
+    least = drawn.groupBy("key").agg(F.min("draw").alias("least"))  # one head at least
+    buckets = materialize(sized.where("n > 1").join(least, "key"), "sized")
+    both = dealt(drawn, buckets.drop("n"), ["key"], hot_keys(buckets, ["key"], state.count()), "row")
+    marked = both.withColumn("head", heavy & ((F.col("draw") < F.lit(CHUNK / 2) / F.col("w")) | (F.col("draw") == F.col("least"))))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("w") * 2 / CHUNK)).cast("long")
+    own = F.array(F.pmod(F.xxhash64("row", F.lit(turn), F.lit("chunk")), chunks))
+    in_chunks = F.when(~heavy, F.array(F.lit(0).cast("long"))).when(F.col("head"), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(own)
+    return materialize(marked.withColumn("in_chunks", in_chunks).drop("draw", "least"), "work")
 
 
 def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -256,21 +276,24 @@ def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def left_over(state: DataFrame) -> DataFrame:
-    """Members of buckets (key, row, comp, far) that still can have a link to another component there."""
-    mixed = state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("key")
-    return state.join(mixed, "key")
+    """Members of buckets (key, row, comp, ...) that still can have a link to another component there; written."""
+    state = materialize(state, "members_left")
+    each = materialize(state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a != b"), "mixed")
+    return dealt(state, each.select("key"), ["key"], hot_keys(each, ["key"], state.count()), "row")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """row, id, tag, class_id, class_size, is_first of each row of docs."""
     sigs = signatures(docs)
     some = sigs.where("n > 0")
-    first = materialize(some.groupBy("one", "two").agg(F.min("row").alias("rep")), "texts_once")
+    first = materialize(some.groupBy("one", "two").agg(F.min("row").alias("rep"), F.count("*").alias("n")), "texts_once")
     once = some.select("row", "one", "two", "keys", "data").join(first.select(F.col("rep").alias("row")), "row", "left_semi")
-    members = once.select("row", F.explode(F.array_distinct("keys")).alias("key"))
-    size = members.groupBy("key").agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    buckets = materialize(members.join(size, "key"), "buckets")
-    texts = materialize(once.join(buckets.select("row").distinct(), "row", "left_semi").select("row", "data", "keys"), "candidates")
+    members = materialize(once.select("row", F.explode(F.array_distinct("keys")).alias("key")), "members")
+    n_members = members.count()
+    size = materialize(members.groupBy("key").agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1"), "sizes")
+    hot = hot_keys(size, ["key"], n_members)
+    buckets = materialize(dealt(members, size.select("key", "leader"), ["key"], hot, "row"), "buckets")
+    texts = materialize(once.join(buckets.select("row").distinct(), "row", "left_semi").select("row", "data", "keys", (1 + F.floor(F.length("data") / WEIGHT)).cast("long").alias("weight")), "candidates")
     pairs = buckets.where("row != leader").select(F.col("leader").alias("u"), F.col("row").alias("v")).distinct()
     checked = materialize(verify(pairs, texts), "checked")
     edges = checked.where("link").select("u", "v")
@@ -280,37 +303,36 @@ def classes(docs: DataFrame) -> DataFrame:
     far = checked.select(F.col("u").alias("leader"), F.col("v").alias("row"), "far")
     state = with_component(buckets.where("row != leader").join(far, ["leader", "row"]), comps)
     lead = comps.select(F.col("row").alias("leader"), F.col("comp").alias("lead"))
-    state = state.join(lead, "leader", "left").withColumn("lead", F.coalesce("lead", "leader"))
+    state = materialize(dealt(state, lead, ["leader"], hot_keys(checked.groupBy(F.col("u").alias("leader")).agg(F.count("*").alias("n")), ["leader"], checked.count()), "row", "left").withColumn("lead", F.coalesce("lead", "leader")), "led")
     near = state.where("comp != lead").groupBy("key").agg(F.min("far").alias("near"))
-    state = left_over(state.join(near, "key").where((F.col("comp") != F.col("lead")) | (F.col("far") >= F.col("near") - (1 - SIMILARITY))).select(F.col("key").alias("bucket"), "key", "row", "comp", "far"))
-    state = materialize(state, "left_over")
+    state = left_over(dealt(state, near, ["key"], hot, "row").where((F.col("comp") != F.col("lead")) | (F.col("far") >= F.col("near") - (1 - SIMILARITY))).select(F.col("key").alias("bucket"), "key", "row", "comp", "far"))
+    state = materialize(state.join(texts.select("row", "weight"), "row"), "left_over")
     again, largest = 0, None  # a bucket is split by its members' k-mers before the first round, as long as that helps
     while True:
-        sized = state.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("head"))
-        most = sized.agg(F.max("n")).first()[0] or 0
+        sized = materialize(state.groupBy("key").agg(F.sum("weight").alias("w"), F.count("*").alias("n")), "sized")
+        most = sized.agg(F.max("w")).first()[0] or 0
         if most > CHUNK and not again and (largest is None or most <= 0.8 * largest):
             largest = most
-            large = sized.where(F.col("n") > CHUNK).select("key")
-            split_up = left_over(finer(state.join(large, "key", "left_semi"), texts))
+            large = sized.where(F.col("w") > CHUNK).select("key")
+            split_up = left_over(finer(state.join(large, "key", "left_semi"), texts))  # at most sum(w) / CHUNK keys are large
             state = materialize(state.join(large, "key", "left_anti").unionByName(split_up), "left_over")
             continue
-        work = materialize(state.join(sized, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK)), "work")
-        chunk = F.when((F.col("row") == F.col("head")) & (F.col("chunks") > 1), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", F.lit(again)), F.col("chunks"))))
-        groups = work.withColumn("chunk", F.explode(chunk)).join(texts, "row").select("bucket", "key", "chunk", "row", "comp", "far", "data", "keys")
+        work = dealt_rounds(state, sized, again)
+        groups = work.withColumn("chunk", F.explode("in_chunks")).join(texts.drop("weight"), "row").select("bucket", "key", "chunk", "row", "comp", "far", "data", "keys")
         found = materialize(resolve(groups), "links")
         edges = materialize(edges.unionByName(found), "all_links")
         comps = materialize(components(edges), "components") if found.head(1) else comps
         if most <= CHUNK:
             break
-        rest = left_over(with_component(work.where("chunks > 1 and row != head").select("bucket", "key", "row", "far"), comps))
-        state = materialize(rest.select("bucket", "key", "row", "comp", "far"), "left_over")
+        rest = left_over(with_component(work.where("w > %d and not head" % CHUNK).select("bucket", "key", "row", "far", "weight"), comps))
+        state = materialize(rest.select("bucket", "key", "row", "comp", "far", "weight"), "left_over")
         again += 1
 
     roots = with_component(first.select("one", "two", F.col("rep").alias("row")), comps).select("one", "two", "comp")
-    placed = sigs.select("row", "id", "tag", "one", "two", "n").join(roots.withColumn("has", F.lit(1)), ["one", "two"], "left")
+    placed = dealt(sigs.select("row", "id", "tag", "one", "two", "n"), roots, ["one", "two"], hot_keys(first, ["one", "two"], sigs.count()), "row", "left")
     placed = materialize(placed.select("row", "id", "tag", F.when(F.col("n") > 0, F.col("comp")).otherwise(-1 - F.col("row")).alias("comp")), "placed")
-    least = placed.groupBy("comp").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("class_size"))
-    out = placed.join(least, "comp")
+    least = materialize(placed.groupBy("comp").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("class_size")), "least")
+    out = dealt(placed, least, ["comp"], hot_keys(least.withColumnRenamed("class_size", "n"), ["comp"], placed.count()), "row")
     class_id = F.when(F.col("least.id") != NO_ID, F.col("least.id"))
     return out.select("row", "id", "tag", class_id.alias("class_id"), "class_size", (F.col("row") == F.col("least.row")).alias("is_first"))
 
@@ -318,15 +340,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first of their class, with all their columns."""
     done = materialize(classes(docs.select("doc_id", "text")), "decisions")
-    first = done.where("is_first").select(F.col("id").alias("__id"), F.col("tag").alias("__tag"))
-    other = done.where("not is_first").select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    again = materialize(other.join(first, ["__id", "__tag"], "left_semi"), "repeats")
-    on = ["__id", "__tag"]
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__tag": tag()})
-    left = rows.join(other.join(again, on, "left_anti"), on, "left_anti")
-    if again.head(1):  # rows that repeat id and text
-        left = left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(on))
-    return left.drop(*on)
+    return one_of_each(docs, done.select("id", "tag", F.col("is_first").alias("stays")))
 
 
 def op10_order_minhash(spark, sf_dir: str) -> DataFrame:

@@ -1,36 +1,35 @@
 """Benchmark decontamination by winnowing.
 
-Of every ``window`` consecutive words the smallest ``gram``-word hash is a fingerprint, on both sides.
-A span of ``window`` words that a document shares with an item therefore shares its fingerprint, so no
-shared span is missed.  Fingerprints that meet are extended: the windows around a hit are compared word
-by word with the item's.  An item of fewer words is one window of its own length, whose whole hash is its
-fingerprint.
-
-The benchmark is compiled in blocks of at most ``block_bytes`` of text; each block is broadcast by
-itself, and documents pass one block after the other, so a benchmark of any size can be used.
-
-Defined cases: null and empty texts have no words and no hits; a null item_id counts as empty text;
-items with equal item_id count once; rows of documents are judged one by one, whatever repeats; an
-empty benchmark leaves all clean; other columns pass unchanged.
+Of every ``window`` consecutive words the smallest ``gram``-word hash is a fingerprint, on both sides.  A span of
+``window`` words that a document shares with an item therefore shares its fingerprint, so no shared span is missed.
+The fingerprints of the test side meet those of the documents in a Bloom filter of bounded size; around each hit the
+windows that can hold it go on as texts, and are joined with the windows of the items, word by word.  A window that very
+many documents hold is dealt over several tasks.  An item of fewer words is one window of its own length, whose whole
+hash is its fingerprint.
+
+Documents are read once, whatever the size of the benchmark, of which nothing but the filter is broadcast.
+
+Defined cases: null and empty texts have no words and no hits; a null item_id counts as empty text; items with equal
+item_id count once; rows of documents are judged one by one, whatever repeats; an empty benchmark leaves all clean; other
+columns pass unchanged.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, roll, table, word_hashes
+from graphloom.llm.common import NO_ID, bloom, dealt, filter_bits, hot_keys, materialize, roll, table, text_tag, word_hashes
 
-WINDOW, GRAM, BLOCK_BYTES, CHUNK_BYTES = 10, 5, 8 << 20, 1 << 20
+WINDOW, GRAM, CHUNK_BYTES = 10, 5, 1 << 20
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+SPOTS = "row long, id long, tag long, n_words long, spots array<struct<start:int,size:int,text:string>>"
+_SPOT = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("text", pa.string())]))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -59,54 +58,71 @@ def winnow(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return at, h[at]
 
 
-class Items:
-    """A block of benchmark items, compiled."""
-
-    def __init__(self, rows: Iterable[tuple], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram = window, gram
-        self.windows: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        prints: list[np.ndarray] = [np.empty(0, np.uint64)]
-        short: dict[int, list[np.ndarray]] = defaultdict(list)
-        for item, text in rows:
-            w = words(text)
-            if not w:
-                continue
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1):
-                self.windows[size][b" ".join(w[i : i + size])].add("" if item is None else str(item))
-            if size == window:
-                prints.append(winnow(word_hashes(w), window, gram)[1])
-            else:
-                short[size].append(roll(word_hashes(w), size))
-        self.windows = {k: dict(v) for k, v in self.windows.items()}
-        self.prints = np.unique(np.concatenate(prints))
-        self.short = {k: np.unique(np.concatenate(v)) for k, v in short.items()}
-
-    def find(self, w: list[bytes], hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, set[str]]]:
-        """(start, length, items) of each window of the concatenated words w that occurs within one document.
-
-        bounds: starts of the documents in w, and its length."""
-        tried: set[int] = set()
-        at, h = winnow(hashes, self.window, self.gram)
-        known = self.windows.get(self.window, {})
-        for p in at[among(h, self.prints)].tolist():
-            d = int(np.searchsorted(bounds, p, "right"))
-            low, high = int(bounds[d - 1]), int(bounds[d])
-            for s in range(max(low, p - self.window + self.gram), min(p, high - self.window) + 1):
-                if s not in tried:
-                    tried.add(s)
-                    if found := known.get(b" ".join(w[s : s + self.window])):
-                        yield s, self.window, found
-        for size, prints in self.short.items():
-            for s in np.flatnonzero(among(roll(hashes, size), prints)).tolist():
-                if s + size <= bounds[np.searchsorted(bounds, s, "right")] and (found := self.windows[size].get(b" ".join(w[s : s + size]))):
-                    yield s, size, found
-
-
-def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known) or not len(h):
-        return np.zeros(len(h), bool)
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+def item_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """text, size, items of each distinct window of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                w = words(text)
+                size = min(window, len(w))
+                texts = list({b" ".join(w[i : i + size]).decode("utf-8", "surrogatepass") for i in range(len(w) - size + 1)}) if w else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(texts), pa.string()), pa.array([size] * len(texts), pa.int32()), pa.array(texts, pa.string())], ["item", "size", "text"])
+
+    rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return rows.mapInArrow(run, "item string, size int, text string").groupBy("text", "size").agg(F.collect_set("item").alias("items"))
+
+
+def fingerprints(windows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """h, size of the smallest gram of each whole window, and of each short window as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [int(roll(word_hashes(t.encode("utf-8", "surrogatepass").split()), gram if n == window else n).min()) for t, n in zip(b.column("text").to_pylist(), b.column("size").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64)), b.column("size")], ["h", "size"])
+
+    return windows.select("text", "size").mapInArrow(run, "h long, size int").distinct()
+
+
+class Prints:
+    """A Bloom filter of the fingerprints, and the lengths of the short windows."""
+
+    def __init__(self, prints: DataFrame, window: int, most_bits: int):
+        kinds = {r["size"]: r["n"] for r in prints.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
+        self.bits = filter_bits(sum(kinds.values()), most_bits)
+        self.short = sorted(k for k in kinds if k != window)
+        self.words = np.zeros(1 << self.bits, np.uint64)
+        found = bloom(prints, "h", self.bits).toPandas()
+        self.words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        mask = np.zeros(len(h), np.uint64)
+        for i in range(3):
+            mask |= np.uint64(1) << (h >> np.uint64(6 * i) & np.uint64(63))
+        return self.words[(h >> np.uint64(64 - self.bits)).astype(np.int64)] & mask == mask
+
+
+def spots(texts: list[str | None], prints: Prints, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[int, list[dict]]]:
+    """(number of words, windows that may be an item's) of each text."""
+    for part in chunks(texts):
+        each = [words(t) for t in texts[part]]
+        bounds = np.concatenate([[0], np.cumsum([len(w) for w in each])]).astype(np.int64)
+        w = [x for e in each for x in e]
+        hashes = word_hashes(w)
+        at, h = winnow(hashes, window, gram)
+        p = at[prints.may_hold(h)]
+        start = np.unique((p[:, None] + np.arange(gram - window, 1)).ravel())
+        found = [(start, window)]
+        for size in prints.short:
+            found.append((np.flatnonzero(prints.may_hold(roll(hashes, size))), size))
+        out: list[list[dict]] = [[] for _ in each]
+        for start, size in found:
+            start = start[(start >= 0) & (start + size <= len(w))]
+            doc = np.searchsorted(bounds, start, "right") - 1
+            whole = start + size <= bounds[doc + 1]
+            for s, d in zip(start[whole].tolist(), doc[whole].tolist(), strict=True):
+                out[d].append({"start": s - int(bounds[d]), "size": size, "text": b" ".join(w[s : s + size]).decode("utf-8", "surrogatepass")})
+        yield from zip(map(len, each), out, strict=True)
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[slice]:
@@ -121,95 +137,52 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[slice]
         yield slice(start, len(texts))
 
 
-def examine(texts: list[str | None], blocks: list[Items]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-    """(number of words, hit windows as (start, length), items) of each text."""
-    for part in chunks(texts):
-        each = [words(t) for t in texts[part]]
-        bounds = np.concatenate([[0], np.cumsum([len(w) for w in each])])
-        w = [x for e in each for x in e]
-        hashes = word_hashes(w)
-        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        items: dict[int, set[str]] = defaultdict(set)
-        for block in blocks:
-            for s, size, found in block.find(w, hashes, bounds):
-                d = int(np.searchsorted(bounds, s, "right")) - 1
-                spans[d].append((s - int(bounds[d]), size))
-                items[d] |= found
-        for d, e in enumerate(each):
-            yield len(e), spans.get(d, []), items.get(d, set())
-
-
-def compiled(bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The benchmark in blocks of about block_bytes of text, one at a time."""
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // block_bytes) or 1
-    for k in range(parts):
-        part = bench.select("item_id", "text") if parts == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select("item_id", "text")
-        yield Items([tuple(r) for r in part.toLocalIterator()])
-
-
-def covered(n: int, spans: list[tuple[int, int]]) -> int:
-    mask = np.zeros(n, bool)
-    for s, size in spans:
-        mask[s : s + size] = True
-    return int(mask.sum())
-
-
-def report(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items of each row of docs."""
-    sc = docs.sparkSession.sparkContext
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<long>").alias("spans"))
-    for k, block in enumerate(compiled(bench, block_bytes)):
-        if k and k % 4 == 0:
-            state = materialize(state, "spans")
-        state = _pass(state, sc.broadcast(block))
-
-    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc_id, n, spans, items in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_words", "spans", "items")), strict=True):
-                hit = covered(n, list(zip(spans[::2], spans[1::2], strict=True))) if spans else 0
-                names = sorted(items or [])
-                out.append((doc_id, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0, names))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, _ARROW, strict=True)], _NAMES)
-
-    return state.mapInArrow(summarize, RESULT)
-
-
-_NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
-_ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())]
+def joined(docs: DataFrame, bench: DataFrame, most_bits: int = 20) -> tuple[DataFrame, DataFrame]:
+    """row, id, tag, n_words of each row of docs; and row, id, tag, start, size, items of each window that is an item's.
 
+    The filter takes at most 8 * 2**most_bits bytes."""
+    windows = materialize(item_windows(bench), "item_windows")
+    held = docs.sparkSession.sparkContext.broadcast(Prints(materialize(fingerprints(windows), "fingerprints"), WINDOW, most_bits))
 
-def _pass(state: DataFrame, block) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            n, all_items, all_spans = [], [], []
-            for (size, spans, items), old_items, old_spans in zip(examine(texts, [block.value]), b.column("items").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                n.append(size)
-                all_items.append(sorted(items | set(old_items or [])) or None)
-                all_spans.append([*(old_spans or []), *(x for s in spans for x in s)] or None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text"), pa.array(all_items, pa.list_(pa.string())), pa.array(all_spans, pa.list_(pa.int64())), pa.array(n, pa.int64())],
-                ["doc_id", "text", "items", "spans", "n_words"],
-            )
-
-    state = state.select("doc_id", "text", "items", "spans")
-    return state.mapInArrow(run, "doc_id long, text string, items array<string>, spans array<long>, n_words long")
-
-
-def clean(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs without any word of a benchmark window, with all their columns."""
-    sc = docs.sparkSession.sparkContext
-    for block in compiled(bench, block_bytes):
-        held = sc.broadcast(block)
+            n, found = zip(*spots(b.column("text").to_pylist(), held.value), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("tag"), pa.array(n, pa.int64()), pa.array(found, _SPOT)], ["row", "id", "tag", "n_words", "spots"])
+
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_tag().alias("tag"), "text")
+    rows = materialize(named.mapInArrow(run, SPOTS), "spots")
+    each = rows.where(F.size("spots") > 0).select("row", "id", "tag", F.explode("spots").alias("s")).select("row", "id", "tag", "s.*")
+    counts = each.groupBy("text").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum(F.size("spots"))).first()[0] or 0
+    return rows.drop("spots"), dealt(each, windows.select("text", "items"), ["text"], hot_keys(counts, ["text"], total), "row")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not spans for _, spans, _ in examine(b.column("text").to_pylist(), [held.value])], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def report(docs: DataFrame, bench: DataFrame, most_bits: int = 20) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items of each row of docs."""
+    rows, hits = joined(docs, bench, most_bits)
+    hits = materialize(hits.select("row", "start", "size", "items"), "hits")
+    step = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("reach"))
+    covered = F.aggregate(
+        F.array_sort("spans"), step,
+        lambda a, x: F.struct((a["covered"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["reach"]))).alias("covered"), F.greatest(a["reach"], x["end"]).alias("reach")),
+        lambda a: a["covered"].cast("long"),
+    )
+    spans = hits.groupBy("row").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans")).select("row", covered.alias("n_hit"))
+    items = hits.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = spans.join(items, "row")
+    out = rows.join(found, "row", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return out.select(
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items",
+    )
+
+
+def clean(docs: DataFrame, bench: DataFrame, most_bits: int = 20) -> DataFrame:
+    """The rows of docs without any word of a benchmark window, with all their columns."""
+    _, hits = joined(docs.select("doc_id", "text"), bench, most_bits)
+    gone = materialize(hits.select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct(), "contaminated")
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__tag": text_tag()})
+    return rows.join(gone, ["__id", "__tag"], "left_anti").drop("__id", "__tag")
 
 
 def op7_winnowing_decontamination(spark, sf_dir: str) -> DataFrame:

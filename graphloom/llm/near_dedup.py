@@ -164,8 +164,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 link.append(linked(x, y, far[-1]))
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(far, pa.float64()), pa.array(link, pa.bool_())], ["u", "v", "far", "link"])
 
-    leaders = materialize(pairs.groupBy("u").agg(F.count("*").alias("n")), "leaders")
-    hot = hot_keys(leaders, ["u"], leaders.agg(F.sum("n")).first()[0] or 0)
+    leaders = pairs.groupBy("u").agg(F.count("*").alias("n"))
+    hot = hot_keys(leaders, ["u"], pairs.count())
     one = pairs.join(texts.select(F.col("row").alias("v"), F.col("data").alias("of_v")), "v")
     both = dealt(one, texts.join(leaders.select(F.col("u").alias("row")), "row", "left_semi").select(F.col("row").alias("u"), F.col("data").alias("of_u")), ["u"], hot, "v")
     return both.sortWithinPartitions("u").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long, far double, link boolean")
@@ -174,20 +174,18 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """row, comp (smallest row of its component) for each row that has an edge (u, v), by alternating stars."""
     e = materialize(edges.where("u != v").select("u", "v").distinct(), "edges")
-    mark = None
+    mark, total = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "least")
-        total = 2 * e.count()
-        large = dealt(both, least.select("u", "m"), ["u"], hot_keys(least, ["u"], total), "v").where("v > u").select(F.greatest("v", "m").alias("hi"), F.least("v", "m").alias("lo")).where("hi != lo").distinct()
-        large = materialize(large, "large")
-        small_least = materialize(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "small_least")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = dealt(both, least.select("u", "m"), ["u"], hot_keys(least, ["u"], 2 * total), "v").where("v > u").select(F.greatest("v", "m").alias("hi"), F.least("v", "m").alias("lo")).where("hi != lo").distinct()
+        small_least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         small = dealt(large, small_least.select("hi", "m"), ["hi"], hot_keys(small_least, ["hi"], total), "lo").where("lo != m").select(F.col("lo").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(small_least.select(F.col("hi").alias("u"), F.col("m").alias("v"))).distinct(), "stars")
         new = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if new == mark:
             break
-        mark = new
+        mark, total = new, new[0]
     roots = e.select(F.col("v").alias("row")).distinct().withColumn("comp", F.col("row"))
     return e.select(F.col("u").alias("row"), F.col("v").alias("comp")).unionByName(roots)
 
@@ -262,7 +260,7 @@ def dealt_rounds(state: DataFrame, sized: DataFrame, turn: int) -> DataFrame:
     heavy = F.col("w") > CHUNK
     drawn = state.withColumn("draw", draw)
     least = drawn.groupBy("key").agg(F.min("draw").alias("least"))  # one head at least
-    buckets = materialize(sized.where("n > 1").join(least, "key"), "sized")
+    buckets = sized.where("n > 1").join(least, "key")
     both = dealt(drawn, buckets.drop("n"), ["key"], hot_keys(buckets, ["key"], state.count()), "row")
     marked = both.withColumn("head", heavy & ((F.col("draw") < F.lit(CHUNK / 2) / F.col("w")) | (F.col("draw") == F.col("least"))))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("w") * 2 / CHUNK)).cast("long")
@@ -278,7 +276,7 @@ def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
 def left_over(state: DataFrame) -> DataFrame:
     """Members of buckets (key, row, comp, ...) that still can have a link to another component there; written."""
     state = materialize(state, "members_left")
-    each = materialize(state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a != b"), "mixed")
+    each = state.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a != b")
     return dealt(state, each.select("key"), ["key"], hot_keys(each, ["key"], state.count()), "row")
 
 
@@ -294,7 +292,7 @@ def classes(docs: DataFrame) -> DataFrame:
     hot = hot_keys(size, ["key"], n_members)
     buckets = materialize(dealt(members, size.select("key", "leader"), ["key"], hot, "row"), "buckets")
     texts = materialize(once.join(buckets.select("row").distinct(), "row", "left_semi").select("row", "data", "keys", (1 + F.floor(F.length("data") / WEIGHT)).cast("long").alias("weight")), "candidates")
-    pairs = buckets.where("row != leader").select(F.col("leader").alias("u"), F.col("row").alias("v")).distinct()
+    pairs = materialize(buckets.where("row != leader").select(F.col("leader").alias("u"), F.col("row").alias("v")).distinct(), "pairs")
     checked = materialize(verify(pairs, texts), "checked")
     edges = checked.where("link").select("u", "v")
     comps = materialize(components(edges), "components")

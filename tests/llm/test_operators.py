@@ -188,6 +188,57 @@ def test_language_model_knows_the_order_of_words(spark):
     assert min(got[i] for i in held[1:]) > got[held[0]] + 10
 
 
+def test_word_mixer_word_by_word():
+    """Texts side by side give what each gives alone, step by step; weights move, and a predictor that knows nothing takes no part."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    lengths = [1, 7, 0, 30, 30, 2]
+    starts = np.r_[0, np.cumsum(lengths)]
+    n = starts[-1]
+    experts, there, gates = rng.random((4, n)), rng.random((4, n)) < 0.7, rng.integers(0, language_model.GATES, n)
+    there[0] = True
+    first = rng.normal(size=(language_model.GATES, 4))
+    got, total, used = language_model.word_mix(experts, there, gates, starts, first)
+    want, sums, times = [], np.zeros_like(first), np.zeros(language_model.GATES)
+    for a, b in zip(starts, starts[1:]):
+        z = first.copy()
+        for i in range(a, b):
+            w = np.exp(z[gates[i]]) * there[:, i]
+            w /= w.sum()
+            p = (w * experts[:, i]).sum()
+            want.append(p)
+            z[gates[i]] = np.clip(z[gates[i]] + language_model.WORD_RATE * (w * experts[:, i] / p - w), -8, 8)
+        seen = np.unique(gates[a:b])
+        sums[seen] += z[seen]
+        times[seen] += 1
+    assert np.allclose(got, want) and np.allclose(total, sums) and np.array_equal(used, times)
+    # Over all words the predictors sum to 1, so the mixture does, whatever was learnt before.
+    start = np.r_[0, np.full(5, 6).cumsum()]
+    vocabulary = rng.dirichlet(np.ones(5), 4)  # of the last word of five texts that are else the same
+    same = np.concatenate([np.tile(experts[:, 10:15][:, None], (1, 5, 1)), vocabulary[:, :, None]], 2).reshape(4, 30)
+    p, *_ = language_model.word_mix(same, np.tile(there[:, 10:16], 5), np.tile(gates[10:16], 5), start, first)
+    assert abs(p[5::6].sum() - 1) < 1e-9 and not np.allclose(p[5::6], vocabulary[0])
+
+
+def test_language_model_costs_more_for_shuffled_words(spark):
+    """Held-out texts of a small language: the model beats single words, and the same words in another order cost more."""
+    follow = {w: R.sample(VOCABULARY, 4) for w in VOCABULARY}
+
+    def text():
+        w = [R.choice(VOCABULARY)]
+        while len(w) < 60:
+            w.append(R.choice(follow[w[-1]]))
+        return w
+
+    rows = [(i, text()) for i in range(400)]
+    got = {r["doc_id"]: r for r in language_model.score(table(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    turned = {r["doc_id"]: r for r in language_model.score(table(spark, [(i, " ".join(w if fold(i, 10) else R.sample(w, len(w)))) for i, w in rows])).collect()}
+    held = [i for i, _ in rows if not fold(i, 10)]
+    assert sum(turned[i]["score"] for i in held) < 1.05 * sum(got[i]["score"] for i in held)
+    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
+
+
 def test_language_model_counts_the_running_text():
     import numpy as np
 

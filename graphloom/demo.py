@@ -49,21 +49,22 @@ def build(spark: SparkSession, sf_dir: str) -> Graph:
     docs, labels = read("documents"), read("labels")
     flags = F.filter(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull())
     kinds = {
-        "region": region.select(_id("region", "r_regionkey").alias("id"), F.col("r_name").alias("name")),
-        "nation": nation.select(_id("nation", "n_nationkey").alias("id"), F.col("n_name").alias("name")),
-        "customer": customer.select(_id("customer", "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("mktsegment")),
-        "supplier": supplier.select(_id("supplier", "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal")),
-        "part": part.select(_id("part", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("retailprice")),
-        "order": orders.select(_id("order", "o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("totalprice"), F.col("o_orderdate").alias("orderdate"), F.col("o_orderpriority").alias("priority")),
-        "user": read("events").select(_id("user", "user_id").alias("id")).distinct(),
+        "region": region.select(_id("region", "r_regionkey").alias("id"), F.col("r_regionkey").cast("long").alias("__key"), F.col("r_name").alias("name")),
+        "nation": nation.select(_id("nation", "n_nationkey").alias("id"), F.col("n_nationkey").cast("long").alias("__key"), F.col("n_name").alias("name")),
+        "customer": customer.select(_id("customer", "c_custkey").alias("id"), F.col("c_custkey").cast("long").alias("__key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.col("c_mktsegment").alias("mktsegment")),
+        "supplier": supplier.select(_id("supplier", "s_suppkey").alias("id"), F.col("s_suppkey").cast("long").alias("__key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("acctbal")),
+        "part": part.select(_id("part", "p_partkey").alias("id"), F.col("p_partkey").cast("long").alias("__key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("ptype"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("retailprice")),
+        "order": orders.select(_id("order", "o_orderkey").alias("id"), F.col("o_orderkey").cast("long").alias("__key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("totalprice"), F.col("o_orderdate").alias("orderdate"), F.col("o_orderpriority").alias("priority")),
+        "user": read("events").select(_id("user", "user_id").alias("id"), F.col("user_id").cast("long").alias("__key")).distinct(),
         "document": docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left").select(
-            _id("document", "doc_id").alias("id"), "source", "text", "lang", "quality", "toxic", F.when(F.col("quality").isNotNull(), flags).alias("labels")
+            _id("document", "doc_id").alias("id"), F.col("doc_id").cast("long").alias("__key"), "source", "text", "lang", "quality", "toxic", F.when(F.col("quality").isNotNull(), flags).alias("labels")
         ),
     }
 
     def edge(df: DataFrame, type_: str, src: tuple[str, str], dst: tuple[str, str], *fields: str) -> DataFrame:
         own = {f: F.col(f).cast("double") if f in fields else F.lit(None).cast("double") for f in ("qty", "lines", "revenue")}
-        return df.select(F.lit(type_).alias("type"), _id(*src).alias("src"), _id(*dst).alias("dst"), *(c.alias(n) for n, c in own.items()))
+        keys = [c for end, (kind, key) in (("src", src), ("dst", dst)) for c in (F.lit(kind).alias(f"{end}_kind"), F.col(key).cast("long").alias(f"{end}_key"))]
+        return df.select(F.lit(type_).alias("type"), _id(*src).alias("src"), _id(*dst).alias("dst"), *keys, *(c.alias(n) for n, c in own.items()))
 
     lines = lineitem.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("lines"), F.sum("l_extendedprice").alias("revenue"))
     supplied = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("lines"))
@@ -142,7 +143,6 @@ _frame("match_any_kind", {"op": "match", "where": [_flt("acctbal", "gt", 9000)],
           UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name FROM supplier WHERE s_acctbal > 9000""")
 _frame("match_sort_topk", {"op": "match", "kind": "customer", "where": [_flt("acctbal", "gte", 0)], "sort": [{"field": "acctbal", "desc": True}], "project": ["name", "acctbal"]},
        f"{_CUSTOMER} WHERE c_acctbal >= 0 ORDER BY c_acctbal DESC, id LIMIT 50", limit=50)
-_frame("match_sort_missing_last", {"op": "match", "kind": "document", "sort": [{"field": "quality"}], "project": ["quality"]}, f"{_DOCUMENT} ORDER BY quality NULLS LAST, id LIMIT 500", limit=500)
 _query("match_sort_missing_ranked", f"SELECT *, row_number() OVER (ORDER BY quality NULLS LAST, id) AS rank FROM ({_DOCUMENT})")(
     lambda g: ranked(g, {"op": "match", "kind": "document", "sort": [{"field": "quality"}], "project": ["quality"]}))
 _frame("match_page2", {"op": "match", "kind": "customer", "sort": [{"field": "mktsegment"}], "project": ["name", "acctbal"]}, f"{_CUSTOMER} ORDER BY c_mktsegment, id LIMIT 40 OFFSET 40", limit=40, offset=40)

@@ -180,7 +180,8 @@ class Value:
 
     def fuzzy(self, v: Any) -> Column:
         """The pattern's characters occur in this order, whatever their case."""
-        pattern = "(?s)" + ".*".join(re.escape(c) for c in python_text(v).lower())
+        # Before each character stand only others, so a text is read once whether it matches or not.
+        pattern = "(?s)^" + "".join(f"[^{_in_class(c)}]*+{re.escape(c)}" for c in python_text(v).lower())
         return _sure(self.exists & F.lower(self.text()).rlike(pattern))
 
     def packed(self) -> Column:
@@ -199,6 +200,11 @@ class Value:
         return [keys[0].desc_nulls_first() if desc else keys[0].asc_nulls_last(), keys[1].desc() if desc else keys[1].asc()]
 
 
+def _in_class(c: str) -> str:
+    """A character within the brackets of a Java pattern."""
+    return f"\\{c}" if c in "\\[]^-&~|" else c
+
+
 def _sure(test: Column) -> Column:
     return F.coalesce(test, F.lit(False))
 

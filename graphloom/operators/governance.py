@@ -1,15 +1,17 @@
 """Changes to a graph as DataFrame operations: upserts by source priority, stale marks, deletes, merges, splits and checks.
 
-A state holds all entities in one table and all edges in another; each operation returns a new state.  Field merges are
-folds in the order of the writes, one group for each entity and field, so they shuffle by entity and nothing else.
+A state holds all entities in one table and all edges in another; each operation returns a new state.  A field's value is
+a maximum over its writes, combined before the shuffle; only fields whose arrays are united are folded write by write, and
+suppressed writes are found by a running maximum, where they are asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,22 +110,60 @@ def fold_fields(writes: DataFrame, *keys: str) -> DataFrame:
 
 
 def _writes(df: DataFrame, keys: tuple[str, ...], append: Column) -> DataFrame:
-    """The fields of rows as writes; rows of a state (seq -1) write as the owners of their fields."""
+    """The fields of rows as writes; rows of a state (seq -1) write as the owners of their fields.
+
+    united: the field's values are to be united; append: this write is, and doesn't replace."""
     rows = df.select(*keys, "seq", "source", "source_priority", "confidence", "owners", "replaced", F.explode("fields").alias("field", "value"))
     owner = F.col("owners")[F.col("field")]
     return rows.select(
         *keys, "seq", "field", "value", F.coalesce(owner["source"], "source").alias("source"), F.coalesce(owner["priority"], "source_priority").alias("priority"),
-        F.coalesce(owner["confidence"], "confidence").alias("confidence"), (append & ~F.coalesce(F.array_contains("replaced", F.col("field")), F.lit(False))).alias("append"),
+        F.coalesce(owner["confidence"], "confidence").alias("confidence"), append.alias("united"), (append & ~F.coalesce(F.array_contains("replaced", F.col("field")), F.lit(False))).alias("append"),
     )
 
 
-def _merged(all_rows: DataFrame, keys: tuple[str, ...], append: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows of a state and writes to it (seq from 0) as one row for each key, and the writes that were suppressed."""
-    folded = fold_fields(_writes(all_rows, keys, append), *keys)
+def _rank() -> Column:
+    """Orders writes: the last of the highest in priority, then confidence, among those with a value; without any, the last."""
+    full = ~empty_value(F.col("value"))
+    return F.struct(full.alias("full"), F.when(full, F.col("priority")).alias("priority"), F.when(full, F.col("confidence")).alias("confidence"), F.col("seq"))
+
+
+def _owner(prefix: str = "") -> Column:
+    return F.struct(F.col(f"{prefix}source"), F.col(f"{prefix}priority"), F.col(f"{prefix}confidence")).cast(OWNER)
+
+
+def best_writes(writes: DataFrame, *keys: str) -> DataFrame:
+    """keys, field, value, owner of writes: the same as folding them in order, but as a maximum, which is combined before the shuffle."""
+    won = F.max_by(F.struct("value", "source", "priority", "confidence"), _rank()).alias("x")
+    return writes.groupBy(*keys, "field").agg(won).select(*keys, "field", F.col("x.value").alias("value"), _owner("x.").alias("owner"))
+
+
+def lost_writes(writes: DataFrame, *keys: str) -> DataFrame:
+    """keys, field and the sources and priorities of writes that changed nothing, and of the field's owner in the end."""
+    group = [*keys, "field"]
+    order = Window.partitionBy(*group).orderBy("seq")
+    state = F.struct(_rank().alias("rank"), "value", "source", "priority")
+    before = F.max(state).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    final = F.max(state).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = writes.withColumns({"before": before, "final": final, "rank": _rank()})
+    lower = (F.col("rank.priority") < F.col("before.rank.priority")) | ((F.col("rank.priority") == F.col("before.rank.priority")) & (F.col("rank.confidence") < F.col("before.rank.confidence")))
+    lost = F.coalesce(F.col("before.rank.full"), F.lit(False)) & (~F.col("rank.full") | lower) & ~F.col("value").eqNullSafe(F.col("before.value"))
+    return rows.where(lost).select(*group, F.col("final.source").alias("existing_source"), F.col("final.priority").alias("existing_priority"), F.col("source").alias("incoming_source"), F.col("priority").alias("incoming_priority"))
+
+
+def _merged(all_rows: DataFrame, keys: tuple[str, ...], append: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of a state and writes to it (seq from 0) as one row for each key, and the writes that were suppressed.
+
+    append: which fields are united (None: none); only these are folded write by write."""
+    writes = _writes(all_rows, keys, F.lit(False) if append is None else append)
+    plain = writes if append is None else writes.where("not united")
+    folded, conflicts = best_writes(plain, *keys), lost_writes(plain, *keys)
+    if append is not None:
+        united = fold_fields(writes.where("united"), *keys)
+        folded = folded.unionByName(united.select(*keys, "field", "value", "owner"))
+        lost = united.where(F.size("lost") > 0).select(*keys, "field", F.explode("lost").alias("seq"), F.col("owner.source").alias("existing_source"), F.col("owner.priority").alias("existing_priority"), "w")
+        lost = lost.select(*keys, "field", "existing_source", "existing_priority", F.filter("w", lambda x: x["seq"] == F.col("seq"))[0].alias("x"))
+        conflicts = conflicts.unionByName(lost.select(*keys, "field", "existing_source", "existing_priority", F.col("x.source").alias("incoming_source"), F.col("x.priority").alias("incoming_priority")))
     values = folded.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"), F.map_from_entries(F.collect_list(F.struct("field", "owner"))).alias("owners"))
-    lost = folded.where(F.size("lost") > 0).select(*keys, "field", F.explode("lost").alias("seq"), F.col("owner.source").alias("existing_source"), F.col("owner.priority").alias("existing_priority"), "w")
-    lost = lost.select(*keys, "field", "existing_source", "existing_priority", F.filter("w", lambda x: x["seq"] == F.col("seq"))[0].alias("x"))
-    conflicts = lost.select(*keys, "field", "existing_source", "existing_priority", F.col("x.source").alias("incoming_source"), F.col("x.priority").alias("incoming_priority"))
     first_text = lambda c: F.coalesce(F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("seq"))), F.lit("")).alias(c)
     own = F.array(F.struct(F.col("source"), F.col("external_id"), F.col("confidence"), F.col("source_priority").alias("priority"), F.lit(False).alias("stale")).cast(SOURCE))
     listed = F.when(F.col("sources").isNotNull(), F.coalesce("sources", F.array().cast(f"array<{SOURCE}>"))).when(F.col("source") != "", own).otherwise(F.array().cast(f"array<{SOURCE}>"))
@@ -169,14 +209,14 @@ class State:
             tables[k] = Table(df.withColumn("labels", F.when(F.col("fields")["labels"]["k"] == "raw", labels)))
         return Graph(self.spark, tables, Table(self.edges, True), self.relations, self.version, checked=False)
 
-    def _appends(self, kinds: set[str]) -> Column:
-        """Whether a row's field is to be united, by the types of its kind."""
-        out = F.lit(False)
-        for kind in kinds | set(self.types):
-            names = [n for n, s in effective_fields(self.types, kind).items() if s.get("merge_strategy") == "append_unique"]
-            if names:
-                out = out | ((F.col("kind") == kind) & F.col("field").isin(names))
-        return out
+    def _appends(self) -> Column | None:
+        """Whether a row's field is to be united, by the types of its kind; None if no type says so."""
+        tests = [
+            (F.col("kind") == kind) & F.col("field").isin(names)
+            for kind in self.types
+            if (names := [n for n, s in effective_fields(self.types, kind).items() if s.get("merge_strategy") == "append_unique"])
+        ]
+        return reduce(Column.__or__, tests) if tests else None
 
     def upsert(self, incoming: DataFrame) -> tuple[State, DataFrame]:
         """Entities (entity_rows) written over those that are there; also the field conflicts that priority decided."""
@@ -186,10 +226,10 @@ class State:
         columns = ["id", "kind", "seq", "source", "external_id", "confidence", "source_priority", "owners", "sources", "fields", "replaced"]
         touched = rows.select("id").distinct()
         both = before.join(touched, "id", "left_semi").select(*columns).unionByName(rows.select(*columns))
-        changed = both.groupBy("id").agg(F.countDistinct("kind").alias("n")).where("n > 1").head()
+        changed = both.groupBy("id").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a != b").head()
         if changed:
             raise InvalidQuery(f"an entity's kind can't change: {changed['id']}")
-        merged, conflicts = _merged(both, ("id", "kind"), self._appends(set()))
+        merged, conflicts = _merged(both, ("id", "kind"), self._appends())
         aliases = rows.where("given is not null and given != id").groupBy("id").agg(F.array_sort(F.collect_set("given")).alias("more"))
         old = before.select("id", F.col("merged_from").alias("old_from"))
         none = F.array().cast("array<string>")
@@ -205,7 +245,7 @@ class State:
         columns = ["id", "type", "src", "dst", "seq", "source", "external_id", "confidence", "source_priority", "owners", "sources", "fields", "replaced"]
         touched = rows.select("id").distinct()
         both = before.join(touched, "id", "left_semi").select(*columns).unionByName(rows.select(*columns))
-        merged, conflicts = _merged(both, ("id", "type", "src", "dst"), F.lit(False))
+        merged, conflicts = _merged(both, ("id", "type", "src", "dst"), None)
         out = replace(self, edges=self.edges.join(touched, "id", "left_anti").unionByName(merged), version=self.version + 1)
         return out, conflicts.drop("type", "src", "dst")
 
@@ -268,7 +308,7 @@ class State:
         moves = self.spark.createDataFrame([(s, target) for s in sources if s != target], "old string, new string")
         order = F.when(F.col("id") == target, -1).otherwise(F.array_position(F.array(*map(F.lit, sources)), F.col("id"))).cast("long")
         part = self.entities.where(F.col("id").isin([target, *sources])).withColumn("seq", order).withColumn("replaced", F.array().cast("array<string>")).withColumn("id", F.lit(target))
-        out, _ = _merged(part, ("id", "kind"), self._appends(set()))
+        out, _ = _merged(part, ("id", "kind"), self._appends())
         old = part.agg(F.flatten(F.collect_list(F.coalesce("merged_from", F.array().cast("array<string>")))).alias("x")).head()["x"]
         out = out.withColumn("merged_from", F.array(*map(F.lit, dict.fromkeys([*old, *(s for s in sources if s != target)]))).cast("array<string>"))
         entities = self.entities.where(~F.col("id").isin([target, *sources])).unionByName(out)
@@ -333,13 +373,11 @@ def redirected(edges: DataFrame, moves: DataFrame) -> DataFrame:
     out = out.withColumn("old_id", F.col("id")).withColumn("id", edge_id(F.col("type"), F.col("src"), F.col("dst")))
     moved = out.withColumn("seq", F.row_number().over(_by_id())).withColumn("replaced", F.array().cast("array<string>"))
     one = moved.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
-    merged, _ = _merged(moved.join(one, "id", "left_semi").drop("old_id"), ("id", "type", "src", "dst"), F.lit(False))
+    merged, _ = _merged(moved.join(one, "id", "left_semi").drop("old_id"), ("id", "type", "src", "dst"), None)
     return out.drop("old_id").join(one, "id", "left_anti").select(*edges.columns).unionByName(merged.select(*edges.columns))
 
 
 def _by_id():
-    from pyspark.sql import Window
-
     return Window.partitionBy("id").orderBy("old_id")
 
 

@@ -14,48 +14,75 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.request import InvalidQuery, Request, Step
+from graphloom.plans.request import InvalidQuery, LimitExceeded, Request, Step
 from graphloom.sources.graph import Graph
 
 FRAME = "vs array<string>, es array<string>, cur string"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """The folder that all executors share.  Only a local session without spark.checkpoint.dir gets a temporary one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/graphloom/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hop(g: Graph, direction: str, relations: tuple[str, ...] | None, *conditions, impact: bool = False) -> DataFrame:
-    """cur, nxt, edge_id, way of the edges that one hop can use.  relations: None for all, empty for none."""
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the levels that path queries have written, but for the first `keep`; no frame of theirs may be read afterwards."""
+    while len(_WRITTEN) > keep:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def held() -> int:
+    return len(_WRITTEN)
+
+
+def level_of(r: Request, df: DataFrame) -> DataFrame:
+    """A level of paths, written, so that the next levels start from it; raises if it is beyond the request's cost limit."""
+    out = written(df)
+    if r.cost_limit and out.count() > r.cost_limit:
+        raise LimitExceeded(f"a level has more than {r.cost_limit} paths")
+    return out
+
+
+def hop(g: Graph, direction: str, relations: tuple[str, ...] | None, *conditions, impact: bool = False, start: str | None = None, stop: str | None = None) -> DataFrame:
+    """cur, nxt, edge_id, way of the edges that one hop can use.  relations: None for all, empty for none.
+
+    start, stop: only edges that leave the one or reach the other entity, by a filter that scans can use."""
     edges = g.edges.df
     for c in conditions:
         if c is not None:
             edges = edges.where(g.edges.condition(c))
     if relations is not None:
         edges = edges.where(F.col("type").isin(list(relations)))
-    out = edges.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), F.col("id").alias("edge_id"), F.lit("out").alias("way"))
-    into = edges.select(F.col("dst").alias("cur"), F.col("src").alias("nxt"), F.col("id").alias("edge_id"), F.lit("in").alias("way"))
-    if impact:
-        ways = {way: [r.name for r in g.relations.values() if r.impact_direction in (way, "both")] for way in ("forward", "reverse")}
-        return _impact(edges, ways)
-    return {"out": out, "in": into}[direction] if direction in ("out", "in") else out.unionByName(into)
 
+    def way(src: str, dst: str, name: str, types: list[str] | None = None) -> DataFrame:
+        some = edges if types is None else edges.where(F.col("type").isin(types))
+        for end, id_ in ((src, start), (dst, stop)):
+            some = some if id_ is None else some.where(g.at(end, id_))
+        return some.select(F.col(src).alias("cur"), F.col(dst).alias("nxt"), F.col("id").alias("edge_id"), F.lit(name).alias("way"))
 
-def _impact(edges: DataFrame, ways: dict[str, list[str]]) -> DataFrame:
-    """Edges in the direction in which their relation passes an impact on."""
-    forward = edges.where(F.col("type").isin(ways["forward"])).select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), F.col("id").alias("edge_id"), F.lit("out").alias("way"))
-    reverse = edges.where(F.col("type").isin(ways["reverse"])).select(F.col("dst").alias("cur"), F.col("src").alias("nxt"), F.col("id").alias("edge_id"), F.lit("in").alias("way"))
-    return forward.unionByName(reverse)
+    if impact:
+        names = lambda d: [r.name for r in g.relations.values() if r.impact_direction in (d, "both")]
+        return way("src", "dst", "out", names("forward")).unionByName(way("dst", "src", "in", names("reverse")))
+    if direction in ("out", "in"):
+        return way("src", "dst", "out") if direction == "out" else way("dst", "src", "in")
+    return way("src", "dst", "out").unionByName(way("dst", "src", "in"))
 
 
 def allowed(g: Graph, df: DataFrame, column: str, kinds: tuple[str, ...] = (), where=None) -> DataFrame:
@@ -83,8 +110,8 @@ def relations_of(r: Request, step: Step | None) -> tuple[str, ...] | None:
 def neighbors(g: Graph, r: Request) -> DataFrame:
     """id, edge_id, way of each neighbour.  A loop is met once in each direction."""
     require(g, r.id)
-    edges = hop(g, r.direction or "both", r.relation_types or None, r.edge_where, impact=r.direction_strategy == "impact")
-    found = edges.where(F.col("cur") == r.id).select(F.col("nxt").alias("id"), "edge_id", F.col("way").alias("direction"))
+    edges = hop(g, r.direction or "both", r.relation_types or None, r.edge_where, impact=r.direction_strategy == "impact", start=r.id)
+    found = edges.select(F.col("nxt").alias("id"), "edge_id", F.col("way").alias("direction"))
     return allowed(g, found, "id", r.node_kinds, r.where)
 
 
@@ -106,10 +133,10 @@ def start(g: Graph, id_: str, kinds: tuple[str, ...]) -> DataFrame:
     return allowed(g, frame, "cur", kinds)
 
 
-def level_edges(g: Graph, r: Request, step: Step | None, default: str) -> DataFrame:
+def level_edges(g: Graph, r: Request, step: Step | None, default: str, start: str | None = None, stop: str | None = None) -> DataFrame:
     impact = r.op == "impact" or r.direction_strategy == "impact"
     direction = (step.direction if step else "") or r.direction or default
-    return hop(g, direction, relations_of(r, step), r.edge_where, step.edge_where if step else None, impact=impact)
+    return hop(g, direction, relations_of(r, step), r.edge_where, step.edge_where if step else None, impact=impact, start=start, stop=stop)
 
 
 def ended(g: Graph, r: Request, df: DataFrame) -> DataFrame:
@@ -123,11 +150,14 @@ def traverse(g: Graph, r: Request) -> DataFrame:
     """vs, es, cur of the simple paths from r.id of 1 to depth hops (with steps: of as many hops as steps)."""
     frame, found = start(g, r.id, r.node_kinds), []
     plain = None if r.steps else level_edges(g, r, None, "both")
-    for level in range(r.hops):
-        if r.steps and level >= len(r.steps):
-            break
+    last = min(r.hops, len(r.steps) or r.hops)
+    for level in range(last):
         step = r.steps[level] if r.steps else None
-        frame = expand(g, frame, plain if plain is not None else level_edges(g, r, step, "both"), r.node_kinds, step)
+        first = r.id if not level else None
+        edges = plain if plain is not None and level else level_edges(g, r, step, "both", first)
+        frame = expand(g, frame, edges, r.node_kinds, step)
+        if level + 1 < last or r.cost_limit:
+            frame = level_of(r, frame)
         if not r.steps or level + 1 == len(r.steps):
             found.append(ended(g, r, frame))
     return reduce(DataFrame.unionByName, found) if found else g.spark.createDataFrame([], FRAME)
@@ -154,8 +184,15 @@ def shortest(g: Graph, r: Request) -> DataFrame:
     if r.steps:
         if r.hops < len(r.steps):
             return frame.where(F.lit(False))
-        for step in r.steps:
-            frame = expand(g, frame, level_edges(g, r, step, "both"), r.node_kinds, step)
+        # Backwards from the target first: each level keeps only nodes from which the rest of the steps can reach it.
+        levels, backs = [], []
+        for i, step in reversed(list(enumerate(r.steps))):
+            edges = level_edges(g, r, step, "both", r.id if i == 0 else None, r.target_id if i + 1 == len(r.steps) else None)
+            edges = edges if not backs else edges.join(backs[-1].select(F.col("cur").alias("nxt")), "nxt", "left_semi")
+            levels.append(edges)
+            backs.append(written(edges.select("cur").distinct()) if i else None)
+        for step, edges in zip(r.steps, reversed(levels), strict=True):
+            frame = expand(g, frame, edges, r.node_kinds, step)
         return ended(g, r, frame.where(F.col("cur") == r.target_id)).orderBy("es").limit(1)
     if r.id == r.target_id:
         return ended(g, r, frame)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
@@ -159,11 +162,14 @@ def groups(g: Graph, request: dict | Request) -> DataFrame:
     r = parse(request)
     rs = rows(g, r)
     wanted = r.aggregate or (("count", "count", ""),)
-    if any(op == "count_by" for _, op, _ in wanted):
-        raise InvalidQuery("count_by in groups: use count with one more key")
     keys = [_json(rs.value(k)).alias(f"__key{i}") for i, k in enumerate(r.group_by)]
     shown = [F.first(native(rs.value(k)), ignorenulls=True).alias(k) for k in r.group_by]
-    df = rs.df.groupBy(*keys).agg(*shown, *(_aggregate(rs, op, f).alias(name) for name, op, f in wanted if name not in r.group_by))
+    df = rs.df.groupBy(*keys).agg(*shown, *(_aggregate(rs, op, f).alias(name) for name, op, f in wanted if name not in r.group_by and op != "count_by"))
+    names = [f"__key{i}" for i in range(len(keys))]
+    for name, op, f in wanted:
+        if op == "count_by":  # a map from the field's text to the number of rows
+            each = rs.df.groupBy(*keys, rs.value(f).text().alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+            df = df.join(each.groupBy(*names).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__value", "__n")))).alias(name)), names)
     if r.having is not None:
         kinds = {k: rs.value(k).kind for k in r.group_by}
 
@@ -211,7 +217,9 @@ def _entities(g: Graph, ids: list[str], fields: tuple[str, ...] = ()) -> dict[st
     """Entities by id; ids are those of one page."""
     found = {}
     for kind, t in g.kinds.items():
-        part = t.df.where(F.col("id").isin(sorted(set(ids))))
+        part = t.with_ids(sorted(set(ids)))
+        if part is None:  # none of the ids can be of this kind
+            continue
         if fields:
             for row in part.select("id", *(t.value(f).packed().alias(f"v{i}") for i, f in enumerate(fields))).collect():
                 found[row["id"]] = {"id": row["id"], "kind": kind, "fields": {f: unpacked_python(row[f"v{i}"]) for i, f in enumerate(fields)}}
@@ -229,8 +237,70 @@ def _edges(g: Graph, ids: list[str]) -> dict[str, dict]:
     return out
 
 
+#: Requests that run now, by id: what they ask for, and since when.
+RUNNING: dict[str, dict[str, Any]] = {}
+
+
+def running() -> list[dict[str, Any]]:
+    """The requests that run now, the oldest first."""
+    return sorted(({"id": k, "op": v["request"].op, "seconds": round(time.monotonic() - v["began"], 3)} for k, v in list(RUNNING.items())), key=lambda x: -x["seconds"])
+
+
+def kill(g: Graph, id_: str) -> bool:
+    """Ends the jobs of a running request, which then raises; False if there is none of this id."""
+    if id_ not in RUNNING:
+        return False
+    RUNNING[id_]["killed"] = "killed"
+    g.spark.interruptTag(id_)
+    return True
+
+
+@contextlib.contextmanager
+def admitted(g: Graph, r: Request) -> Iterator[None]:
+    """While a request runs: it is listed, ends at its timeout, and its levels go when it is done."""
+    id_, kept = f"graphloom-{uuid.uuid4().hex}", P.held()
+    RUNNING[id_] = {"request": r, "began": time.monotonic(), "killed": ""}
+    stopped = threading.Event()
+
+    def watch() -> None:
+        while not stopped.wait(0.1):  # again and again: a request is many jobs, and the next may only start
+            if time.monotonic() - RUNNING[id_]["began"] > r.timeout_ms / 1000:
+                RUNNING[id_]["killed"] = f"took more than {r.timeout_ms} ms"
+                g.spark.interruptTag(id_)
+
+    if r.timeout_ms:
+        threading.Thread(target=watch, daemon=True).start()
+    g.spark.addTag(id_)
+    try:
+        yield
+        if RUNNING[id_]["killed"]:
+            raise LimitExceeded(RUNNING[id_]["killed"])
+    except LimitExceeded:
+        raise
+    except Exception as e:
+        if RUNNING[id_]["killed"]:
+            raise LimitExceeded(RUNNING[id_]["killed"]) from e
+        raise
+    finally:
+        stopped.set()
+        g.spark.removeTag(id_)
+        del RUNNING[id_]
+        P.release(g.spark, kept)
+
+
+def within(df: DataFrame, cost: int) -> list:
+    """The rows of df; raises if there are more than the cost limit."""
+    found = df.limit(cost + 1).collect()
+    if len(found) > cost:
+        raise LimitExceeded(f"more than {cost} rows")
+    return found
+
+
 def execute(g: Graph, request: dict | Request) -> dict[str, Any]:
-    """A page of results with version, cursor, aggregates, groups, statistics and, where asked for, plan and profile."""
+    """A page of results with version, cursor, aggregates, groups, statistics and, where asked for, plan and profile.
+
+    A request that matches more rows, or reaches more paths on a level, than its cost limit (COST_LIMIT if it has none)
+    raises, and so does one that takes longer than its timeout or is killed."""
     r = parse(request)
     if r.op in ("explain", "profile"):
         target = replace(r, op=r.target_op, target_op="", profile=r.op == "profile")
@@ -239,6 +309,11 @@ def execute(g: Graph, request: dict | Request) -> dict[str, Any]:
         return execute(g, target)
     if r.min_version > g.version and not r.allow_stale:
         raise InvalidQuery(f"version {r.min_version} is not there yet")
+    with admitted(g, r):
+        return _page(g, r)
+
+
+def _page(g: Graph, r: Request) -> dict[str, Any]:
     times: list[dict] = []
 
     def timed(name: str, f):
@@ -248,10 +323,10 @@ def execute(g: Graph, request: dict | Request) -> dict[str, Any]:
         return out
 
     offset, after = decode_cursor(g.version, r)
-    rs = rows(g, r)
-    df, size = rs.df, r.page_size
     cost = r.cost_limit or COST_LIMIT
-    if r.cost_limit and df.limit(cost + 1).count() > cost:
+    rs = rows(g, replace(r, cost_limit=cost))
+    df, size = rs.df, r.page_size
+    if timed("admit", lambda: df.limit(cost + 1).count()) > cost:
         raise LimitExceeded(f"more than {cost} rows")
     keyset = after is not None and not r.sort
     if keyset:  # go on behind the last row, without counting those before
@@ -285,10 +360,10 @@ def execute(g: Graph, request: dict | Request) -> dict[str, Any]:
     if more:
         response["next_cursor"] = encode_cursor(g.version, r, offset + len(results), [found[-1][k] for k in rs.keys])
     if r.aggregate:
-        response["aggregates"] = timed("aggregate", lambda: {**(aggregates(g, r).head().asDict() if any(op != "count_by" for _, op, _ in r.aggregate) else {}), **{name: {x["value"]: x["count"] for x in count_by(g, r, f).collect()} for name, op, f in r.aggregate if op == "count_by"}})
+        response["aggregates"] = timed("aggregate", lambda: {**(aggregates(g, r).head().asDict() if any(op != "count_by" for _, op, _ in r.aggregate) else {}), **{name: {x["value"]: x["count"] for x in within(count_by(g, r, f), cost)} for name, op, f in r.aggregate if op == "count_by"}})
     if r.group_by:
         names = list(r.group_by)
-        response["groups"] = [{"key": {k: x[k] for k in names}, "aggregates": {k: v for k, v in x.asDict().items() if k not in names}} for x in timed("group", lambda: groups(g, r).collect())]
+        response["groups"] = [{"key": {k: x[k] for k in names}, "aggregates": {k: v for k, v in x.asDict().items() if k not in names}} for x in timed("group", lambda: within(groups(g, r), cost))]
     if r.profile:
         response |= {"plan": plan(g, r), "profile": times}
     return response
@@ -333,4 +408,4 @@ def scan_edges(g: Graph, type_: str = "", src: str = "", source: str = "", after
     return df.select("id", "type", F.col("src").alias("from"), F.col("dst").alias("to")).orderBy("id").limit(min(limit, 1000))
 
 
-__all__ = ["Table", "aggregates", "count_by", "execute", "frame", "groups", "plan", "rows", "scan_edges", "scan_entities", "stream"]
+__all__ = ["Table", "aggregates", "count_by", "execute", "frame", "groups", "kill", "plan", "rows", "running", "scan_edges", "scan_entities", "stream"]

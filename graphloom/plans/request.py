@@ -95,8 +95,8 @@ def flat_filter(x: dict) -> Filter:
     _need(op in FILTER_OPS, f"unsupported filter op {op!r}")
     _need(x.get("field"), "a filter requires a field")
     value = x.get("value")
-    _need(op != "exists" or value is None or isinstance(value, bool), "exists filter value must be boolean")
-    _need(op != "in" or isinstance(value, list | tuple), "in filter value must be an array")
+    _need(op != "exists" or value is None or isinstance(value, bool), "exists takes true, false or nothing")
+    _need(op != "in" or isinstance(value, list | tuple), "in takes a list of values")
     return Filter(x["field"], op, list(value) if op == "in" else value)
 
 
@@ -105,10 +105,10 @@ def expression(x: dict | None) -> Any:
         return None
     op = (x.get("op") or "").lower() or ("eq" if x.get("field") else "")
     if op in ("and", "or"):
-        _need(x.get("children"), f"{op} expression requires children")
+        _need(x.get("children"), f"nothing to combine under {op!r}")
         return (op, [expression(c) for c in x["children"]])
     if op == "not":
-        _need(len(x.get("children") or ()) == 1, "not expression requires exactly one child")
+        _need(len(x.get("children") or ()) == 1, "not negates one expression")
         return ("not", [expression(x["children"][0])])
     return flat_filter({**x, "op": op})
 

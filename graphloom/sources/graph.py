@@ -7,6 +7,7 @@ stand in the map.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -32,7 +33,7 @@ class RelationType:
     reverse_name: str = ""
 
 
-#: Relations that every graph has.
+# The relations that every graph has.
 BUILT_IN = {
     r.name: r
     for r in (
@@ -45,6 +46,11 @@ BUILT_IN = {
 }
 
 
+def whole(text: str) -> int | None:
+    """The number that a text is the decimal form of."""
+    return int(text) if re.fullmatch(r"0|-?[1-9][0-9]{0,17}", text) else None
+
+
 def edge_id(type_: Column, src: Column, dst: Column) -> Column:
     """An edge's identity is its relation and its ends."""
     return F.concat(F.lit("edge:"), F.substring(F.sha2(F.concat_ws("\0", type_, src, dst), 256), 1, 32))
@@ -60,12 +66,21 @@ class Table:
 
     df: DataFrame
     edges: bool = False
+    #: Ids are this and a whole number, which stands in the column __key, so that a scan can be pruned by it.
+    prefix: str = ""
+
+    def with_ids(self, ids: list[str]) -> DataFrame | None:
+        """The rows with some ids, or None if no id can be one of this table."""
+        if not self.prefix:
+            return self.df.where(F.col("id").isin(ids)) if ids else None
+        keys = [k for i in ids if i.startswith(self.prefix) and (k := whole(i[len(self.prefix) :])) is not None]
+        return self.df.where(F.col("__key").isin(keys)) if keys else None
 
     def _column(self, name: str, always: bool = False) -> Value:
         return Value.of(F.col(f"`{name}`"), self.df.schema[name].dataType, always)
 
     def _own(self, name: str) -> Value:
-        reserved = {"id", "kind", "type", "src", "dst", "fields", "identity", "labels", "sources", *META}
+        reserved = {"id", "kind", "type", "src", "dst", "src_kind", "src_key", "dst_kind", "dst_key", "__key", "owner", "aliases", "fields", "identity", "labels", "sources", *META}
         if name in self.df.columns and name not in reserved:
             return self._column(name)
         if f"field_{name}" in self.df.columns:  # a field named like a column of the graph
@@ -113,7 +128,14 @@ class Table:
         return holds(self.value(f.field), f)
 
     def where(self, tree) -> DataFrame:
-        return self.df if tree is None else self.df.where(self.condition(tree))
+        if tree is None:
+            return self.df
+        df = self.df
+        for f in tree[1] if isinstance(tree, tuple) and tree[0] == "and" else [tree]:
+            if self.prefix and isinstance(f, Filter) and f.field == "id" and f.op in ("eq", "in"):  # the scan is pruned by the key
+                found = self.with_ids([x for x in (f.value if f.op == "in" else [f.value]) if isinstance(x, str)])
+                return df.where(F.lit(False)) if found is None else found.where(self.condition(tree))
+        return df.where(self.condition(tree))
 
 
 def holds(v: Value, f: Filter) -> Column:
@@ -159,10 +181,11 @@ class Graph:
 
     @classmethod
     def of(cls, spark: SparkSession, kinds: dict[str, DataFrame], edges: DataFrame, relations: dict[str, RelationType] | None = None, **more) -> Graph:
-        """kinds: id and fields of each kind.  edges: type, src, dst and fields; their ids are set here."""
+        """kinds: id and fields of each kind; __key where the id is the kind, a colon and that number.  edges: type, src, dst and
+        fields; src_kind, src_key, dst_kind and dst_key where ends are such ids; the edges' own ids are set here."""
         tables = {}
         for kind, df in kinds.items():
-            tables[kind] = Table(df.withColumn("kind", F.lit(kind)))
+            tables[kind] = Table(df.withColumn("kind", F.lit(kind)), prefix=f"{kind}:" if "__key" in df.columns else "")
         return cls(spark, tables, Table(edges.withColumn("id", edge_id(F.col("type"), F.col("src"), F.col("dst"))), True), {**BUILT_IN, **(relations or {})}, **more)
 
     def tables(self, kinds: tuple[str, ...] | None = None) -> dict[str, Table]:
@@ -179,12 +202,23 @@ class Graph:
     def entity(self, id_: str) -> dict | None:
         """One entity with all its fields."""
         for kind, t in self.kinds.items():
-            if row := t.df.where(F.col("id") == id_).head():
+            df = t.with_ids([id_])
+            if df is not None and (row := df.head()):
                 return {"id": id_, "kind": kind, "fields": entity_fields(row.asDict())}
         return None
 
     def has(self, id_: str) -> bool:
-        return bool(self.nodes(where=Filter("id", "eq", id_)).head(1))
+        parts = [df.select("id") for t in self.kinds.values() if (df := t.with_ids([id_])) is not None]
+        return bool(parts) and bool(reduce(DataFrame.unionByName, parts).head(1))
+
+    def at(self, end: str, id_: str) -> Column:
+        """The condition that an edge's end (src or dst) is an entity; by the end's kind and key where edges have them."""
+        test = F.col(end) == id_
+        if f"{end}_kind" in self.edges.df.columns:
+            kind, _, key = id_.partition(":")
+            number = whole(key)
+            test = test & (F.col(f"{end}_kind") == kind) & (F.lit(False) if number is None else F.col(f"{end}_key") == number)
+        return test
 
     def with_version(self, version: int) -> Graph:
         return replace(self, version=version)
@@ -194,7 +228,7 @@ def entity_fields(row: dict) -> dict:
     """The fields of a row of a table as Python values."""
     from graphloom.functions.values import unpacked_python
 
-    skip = {"id", "kind", "type", "src", "dst", "identity", "fields", "sources", *META}
+    skip = {"id", "kind", "type", "src", "dst", "src_kind", "src_key", "dst_kind", "dst_key", "__key", "owner", "aliases", "identity", "fields", "sources", *META}
     out = {k.removeprefix("field_"): v for k, v in row.items() if k not in skip and v is not None}
     for k, v in (row.get("fields") or {}).items():
         if v is not None:

@@ -101,23 +101,23 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
 
 
-#: A key with more than 1 / HOT of all rows is hot; there are less than HOT of them, whatever the input.
-HOT = 1000
+#: A key with more than 1 / HOT of all rows is hot; there are less than HOT of them, whatever the input.  Each is dealt over SALTS tasks.
+HOT, SALTS = 1000, 64
 
 
-def hot_keys(counts: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """keys, salts: over how many tasks to deal each hot key.  counts: keys, n (rows of the key); at most HOT rows are returned."""
-    share = max(1, total // HOT)
-    return counts.where(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).alias("salts"))
+def hot_keys(counts: DataFrame, keys: list[str], total: int) -> list[int]:
+    """Hashes of the hot keys: less than HOT.  counts: keys, n (rows of the key)."""
+    return [r["h"] for r in counts.where(F.col("n") > max(1, total // HOT)).select(F.xxhash64(*keys).alias("h")).collect()]
 
 
-def dealt(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
-    """big joined with small on keys, hot keys of big dealt over several tasks by the column `by`.
-
-    small's rows of a hot key are repeated for each of its tasks, less than 2 * HOT times in all if it has one for each key."""
-    held = F.broadcast(hot)  # less than HOT rows
-    left = big.join(held, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")), F.lit(0).cast("long"))).drop("salts")
-    right = small.join(held, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts") - 1, F.lit(0).cast("long"))))).drop("salts")
+def dealt(big: DataFrame, small: DataFrame, keys: list[str], hot: list[int], by: str, how: str = "inner") -> DataFrame:
+    """big joined with small on keys, hot keys of big dealt over several tasks by the column `by`; small's rows of a hot key are
+    repeated for each of these tasks."""
+    if not hot:
+        return big.join(small, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)  # of two keys with one hash both are dealt, on either side
+    left = big.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0))
+    right = small.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     return left.join(right, [*keys, "salt"], how).drop("salt")
 
 

@@ -301,7 +301,7 @@ def classes(docs: DataFrame) -> DataFrame:
     far = checked.select(F.col("u").alias("leader"), F.col("v").alias("row"), "far")
     state = with_component(buckets.where("row != leader").join(far, ["leader", "row"]), comps)
     lead = comps.select(F.col("row").alias("leader"), F.col("comp").alias("lead"))
-    state = materialize(dealt(state, lead, ["leader"], hot_keys(checked.groupBy(F.col("u").alias("leader")).agg(F.count("*").alias("n")), ["leader"], checked.count()), "row", "left").withColumn("lead", F.coalesce("lead", "leader")), "led")
+    state = materialize(dealt(state, lead, ["leader"], hot_keys(checked.groupBy(F.col("u").alias("leader")).agg(F.count("*").alias("n")), ["leader"], n_members), "row", "left").withColumn("lead", F.coalesce("lead", "leader")), "led")
     near = state.where("comp != lead").groupBy("key").agg(F.min("far").alias("near"))
     state = left_over(dealt(state, near, ["key"], hot, "row").where((F.col("comp") != F.col("lead")) | (F.col("far") >= F.col("near") - (1 - SIMILARITY))).select(F.col("key").alias("bucket"), "key", "row", "comp", "far"))
     state = materialize(state.join(texts.select("row", "weight"), "row"), "left_over")

@@ -189,7 +189,7 @@ _SHOW = "SELECT array_to_string(vs, '>') AS path, array_to_string(es, '>') AS ed
 
 def _path(name: str, request: dict, ctes: str, tail: str = "", limit: int | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: frame(opened(spark, sf_dir), request, limit)
-    ORACLE[name] = f"WITH {_EDGES}, {ctes} {_SHOW} {tail}"
+    ORACLE[name] = f"WITH {_EDGES}, {ctes} {_SHOW} {tail}".replace("e AS (SELECT *", "e AS MATERIALIZED (SELECT *", 1)
 
 
 _path("traverse_d2", {"op": "traverse", "id": "customer:7", "direction": "out", "depth": 2}, _OUT + ", " + _hops("customer:7", 2, "o"))

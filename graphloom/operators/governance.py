@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.values import VALUE, packed_python
-from graphloom.plans.request import InvalidQuery
+from graphloom.plans.request import InvalidQuery, LimitExceeded
 from graphloom.sources.graph import BUILT_IN, FIELDS, Graph, RelationType, Table, edge_id, entity_id
 
 OWNER = "struct<source:string,priority:double,confidence:double>"
@@ -197,7 +197,7 @@ class State:
 
     @classmethod
     def empty(cls, spark: SparkSession) -> State:
-        entities = spark.createDataFrame([], _schema("id string, kind string").add("merged_from", T.ArrayType(T.StringType())))
+        entities = spark.createDataFrame([], _schema("id string, kind string").add("merged_from", T.ArrayType(T.StringType())).add("split_from", T.StringType()))
         return cls(spark, entities, spark.createDataFrame([], _schema("id string, type string, src string, dst string")))
 
     def graph(self) -> Graph:
@@ -231,7 +231,7 @@ class State:
             raise InvalidQuery(f"an entity's kind can't change: {changed['id']}")
         merged, conflicts = _merged(both, ("id", "kind"), self._appends())
         aliases = rows.where("given is not null and given != id").groupBy("id").agg(F.array_sort(F.collect_set("given")).alias("more"))
-        old = before.select("id", F.col("merged_from").alias("old_from"))
+        old = before.select("id", F.col("merged_from").alias("old_from"), "split_from")
         none = F.array().cast("array<string>")
         merged = merged.join(aliases, "id", "left").join(old, "id", "left").withColumn("merged_from", F.array_distinct(F.concat(F.coalesce("old_from", none), F.coalesce("more", none)))).drop("more", "old_from")
         kept = self.entities.join(touched, "id", "left_anti").unionByName(merged)
@@ -265,8 +265,39 @@ class State:
         stay = [r["id"] for r in found.where(F.col("source_priority") > priority).collect()]
         return self.delete([i for i in ids if i not in stay]), sorted(stay)
 
+    def edges_named(self, refs: DataFrame) -> DataFrame:
+        """ref, id of the edges that refs (column ref) name: by id, or else by the external id of one of their sources."""
+        known = refs.select("ref").where("ref != ''").distinct()
+        own = known.join(self.edges.select("id"), known["ref"] == F.col("id")).select("ref", "id")
+        names = self.edges.select("id", F.explode("sources.external_id").alias("ref")).distinct()
+        return own.unionByName(known.join(own, "ref", "left_anti").join(names, "ref").select("ref", "id"))
+
     def delete_edges(self, ids: list[str]) -> State:
-        return replace(self, edges=self.edges.where(~F.col("id").isin(ids)), version=self.version + 1)
+        """Edges by id or by a source's name for them; a name that several edges have is an error."""
+        found = self.edges_named(self.spark.createDataFrame([(i,) for i in ids], "ref string"))
+        if bad := found.groupBy("ref").agg(F.count("*").alias("n")).where("n > 1").head():
+            raise InvalidQuery(f"{bad['n']} edges are named {bad['ref']!r}")
+        return replace(self, edges=self.edges.join(found.select("id"), "id", "left_anti").select(*self.edges.columns), version=self.version + 1)
+
+    def delete_edges_from_source(self, requests: DataFrame) -> tuple[State, DataFrame]:
+        """requests: seq, ref (id or name; or else type, src, dst), source, priority.  An edge goes if its owner's priority isn't
+        higher; also seq, id, problem of the requests that change nothing for another reason than that the edge isn't there."""
+        own = F.when(F.coalesce("ref", F.lit("")) != "", F.col("ref")).otherwise(edge_id(F.col("type"), F.col("src"), F.col("dst")))
+        asked = requests.select("seq", own.alias("ref"), "source", "priority")
+        named = asked.join(self.edges_named(asked), "ref")
+        counts = named.groupBy("seq").agg(F.count("*").alias("n"))
+        judged = named.join(counts, "seq").join(self.edges.select("id", "source_priority"), "id")
+        problem = F.when(F.col("n") > 1, "several edges have this name").when(F.col("source_priority") > F.col("priority"), "owned by a higher priority")
+        judged = judged.withColumn("problem", problem)
+        gone = judged.where("problem is null").select("id").distinct()
+        return replace(self, edges=self.edges.join(gone, "id", "left_anti").select(*self.edges.columns), version=self.version + 1), judged.where("problem is not null").select("seq", "id", "problem").dropDuplicates(["seq"])
+
+    def within_quota(self, entities: int = 0, edges: int = 0) -> State:
+        """This state, if it holds no more entities and edges than that (0: any number)."""
+        for name, most, df in (("entities", entities, self.entities), ("edges", edges, self.edges)):
+            if most and (n := df.count()) > most:
+                raise LimitExceeded(f"{n} {name}, of at most {most}")
+        return self
 
     def delete_relation(self, name: str) -> State:
         return replace(self, edges=self.edges.where(F.col("type") != name), relations={k: v for k, v in self.relations.items() if k != name}, version=self.version + 1)
@@ -310,15 +341,20 @@ class State:
         part = self.entities.where(F.col("id").isin([target, *sources])).withColumn("seq", order).withColumn("replaced", F.array().cast("array<string>")).withColumn("id", F.lit(target))
         out, _ = _merged(part, ("id", "kind"), self._appends())
         old = part.agg(F.flatten(F.collect_list(F.coalesce("merged_from", F.array().cast("array<string>")))).alias("x")).head()["x"]
-        out = out.withColumn("merged_from", F.array(*map(F.lit, dict.fromkeys([*old, *(s for s in sources if s != target)]))).cast("array<string>"))
+        out = out.withColumn("split_from", F.lit(None).cast("string")).withColumn("merged_from", F.array(*map(F.lit, dict.fromkeys([*old, *(s for s in sources if s != target)]))).cast("array<string>"))
         entities = self.entities.where(~F.col("id").isin([target, *sources])).unionByName(out)
         return replace(self, entities=entities, edges=redirected(self.edges, moves), version=self.version + 1)
 
     def split(self, source: str, replacements: DataFrame) -> State:
-        """An entity and its edges go; the replacements (entity_rows) come."""
+        """An entity and its edges go; the replacements (entity_rows) come, and say what they were split from."""
         if not self.entities.where(F.col("id") == source).head(1):
             raise InvalidQuery(f"entity not found: {source}")
-        return replace(self.delete([source]).upsert(replacements)[0], version=self.version + 1)
+        new = with_targets(self, replacements).select("id").distinct()
+        if taken := self.entities.join(new, "id", "left_semi").select("id").head():
+            raise InvalidQuery(f"a replacement needs an id of its own: {taken['id']}")
+        out = self.delete([source]).upsert(replacements)[0]
+        marked = out.entities.join(new.withColumn("new", F.lit(source)), "id", "left").withColumn("split_from", F.coalesce("new", "split_from")).select(*out.entities.columns)
+        return replace(out, entities=marked, version=self.version + 1)
 
     def entity_by_alias(self, id_: str) -> str | None:
         """The id of an entity, or of the only one that was merged from it."""
@@ -436,6 +472,37 @@ def field_violations(state: State) -> DataFrame:
     return out
 
 
+def rejected_entities(state: State, incoming: DataFrame) -> DataFrame:
+    """seq, problem of entity writes that would change a kind or break their type."""
+    rows = with_targets(state, incoming).select("seq", "id", "kind")
+    kinds = state.entities.select("id", F.col("kind").alias("old")).join(rows.select("id").distinct(), "id", "left_semi")
+    first = rows.groupBy("id").agg(F.min_by("kind", "seq").alias("first"))
+    judged = rows.join(kinds, "id", "left").join(first, "id")
+    out = judged.where(F.coalesce("old", "first") != F.col("kind")).select("seq", F.lit("an entity's kind can't change").alias("problem"))
+    if state.types:
+        tentative, _ = state.upsert(incoming.join(out.select("seq"), "seq", "left_anti"))
+        bad = field_violations(tentative).groupBy("id").agg(F.min(F.concat("problem", F.lit(": "), "field")).alias("problem"))
+        out = out.unionByName(rows.join(out.select("seq"), "seq", "left_anti").join(bad, "id").select("seq", "problem"))
+    return out
+
+
+def rejected_edges(state: State, incoming: DataFrame) -> DataFrame:
+    """seq, problem of edge writes whose relation, ends or cardinality are wrong; of writes that exclude each other the first stays."""
+    new = State(state.spark, state.entities, incoming.withColumn("id", F.col("seq").cast("string")), state.relations, state.types)
+    single = violations(new).where("problem != 'violates cardinality'").select(F.col("id").cast("long").alias("seq"), "problem")
+    left = incoming.join(single.select("seq"), "seq", "left_anti")
+    out = single
+    for end, other, limits in (("src", "dst", ("many_to_one", "one_to_one")), ("dst", "src", ("one_to_many", "one_to_one"))):
+        names = [r.name for r in state.relations.values() if r.cardinality in limits]
+        if names:
+            some = left.where(F.col("type").isin(names))
+            held = state.edges.where(F.col("type").isin(names)).groupBy("type", end).agg(F.min(other).alias("held"))
+            first = some.groupBy("type", end).agg(F.min_by(other, "seq").alias("first"))
+            judged = some.join(first, ["type", end]).join(held, ["type", end], "left")
+            out = out.unionByName(judged.where(F.coalesce("held", "first") != F.col(other)).select("seq", F.lit("violates cardinality").alias("problem")))
+    return out.dropDuplicates(["seq"])
+
+
 def with_defaults(state: State, incoming: DataFrame) -> DataFrame:
     """Incoming entities with the defaults of their types for fields they lack."""
     from graphloom.functions.values import literal
@@ -454,17 +521,20 @@ def _without(name: str) -> Column:
 
 @dataclass(frozen=True)
 class SourcePolicy:
-    """default and sources: priorities.  aliases: (kind or "", alias, field).  fields: (source, kind or "", field, priority)."""
+    """default and sources: priorities.  aliases: (kind or "", alias, field)."""
 
     default: float = 0.0
     sources: dict[str, float] = field(default_factory=dict)
     aliases: tuple[tuple[str, str, str], ...] = ()
 
+    def ranked(self, rows: DataFrame, column: str = "source_priority") -> DataFrame:
+        """rows with the priority of their source."""
+        own = F.create_map(*(F.lit(x) for k, v in self.sources.items() for x in (k, float(v))))[F.col("source")] if self.sources else F.lit(None).cast("double")
+        return rows.withColumn(column, F.coalesce(own, F.lit(float(self.default))))
+
     def apply(self, incoming: DataFrame) -> DataFrame:
         """Sets the priority of rows by their source and renames aliased fields; a field's own name wins over its aliases."""
-        priority = F.create_map(*(F.lit(x) for k, v in self.sources.items() for x in (k, float(v)))) if self.sources else None
-        ranked = F.coalesce(priority[F.col("source")], F.lit(float(self.default))) if priority is not None else F.lit(float(self.default))
-        out = incoming.withColumn("source_priority", ranked)
+        out = self.ranked(incoming)
         for kind, alias, name in sorted(self.aliases, reverse=True):  # those of a kind before those of all
             here = F.map_contains_key("fields", alias) & (F.lit(True) if not kind else F.col("kind") == kind)
             without = _without(alias)

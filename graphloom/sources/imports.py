@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.values import VALUE
-from graphloom.operators.governance import State
+from graphloom.operators.governance import EntityType, SourcePolicy, State, rejected_edges, rejected_entities, with_defaults
+from graphloom.operators.paths import written
 from graphloom.plans.request import InvalidQuery
-from graphloom.sources.graph import FIELDS
+from graphloom.sources.graph import FIELDS, RelationType, entity_id
 
 MAX_LINE = 8 << 20
 PAYLOADS = ("entity", "edge", "delete_entity", "delete_edge", "relation_type", "entity_type")
@@ -125,16 +127,72 @@ def edges_of(items: DataFrame, source: str = "") -> DataFrame:
     )
 
 
-def apply_items(state: State, items: DataFrame, source: str = "") -> tuple[State, DataFrame]:
-    """Deletes, then entities, then edges of items; also the field conflicts."""
-    from graphloom.sources.graph import entity_id
+MAX_TYPES = 10_000
+
+
+def _types_of(items: DataFrame, payload: str) -> list[tuple[int, dict]]:
+    """(seq, definition) of the type payloads, of which a batch may have MAX_TYPES."""
+    rows = items.where(F.col(payload).isNotNull()).select("seq", payload).orderBy("seq").limit(MAX_TYPES + 1).collect()
+    if len(rows) > MAX_TYPES:
+        raise InvalidQuery(f"more than {MAX_TYPES} types in a batch")
+    return [(r["seq"], json.loads(r[payload])) for r in rows]
+
+
+def relation_of(x: dict) -> RelationType:
+    return RelationType(x["name"], tuple(x.get("from_kinds") or ()), tuple(x.get("to_kinds") or ()), x.get("cardinality") or "many_to_many", x.get("impact_direction") or "none", bool(x.get("allow_cross_kind")), x.get("reverse_name") or "")
+
+
+def entity_type_of(x: dict) -> EntityType:
+    own = x.get("fields") or {}
+    specs = {f["name"]: {k: v for k, v in f.items() if k != "name"} for f in own} if isinstance(own, list) else own
+    keys = {k.get("name") or "_".join(k["fields"]): (tuple(k["fields"]), float(k.get("min_confidence") or 0), k.get("strategy") or "merge") for k in x.get("identity_keys") or ()}
+    return EntityType(x["name"], tuple(x.get("extends") or ()), specs, keys)
+
+
+def apply_items(state: State, items: DataFrame, source: str = "", policy: SourcePolicy | None = None) -> tuple[State, DataFrame, DataFrame]:
+    """Types and relations, then deletes of edges and entities that priority allows, then entities and edges that their types
+    and relations allow; also the field conflicts, and seq, error of the items that were rejected."""
+    failed: list[tuple[int, str]] = []
+    out, items = state, written(items)  # read by every step: lines are parsed once
+    for payload, make, add in (("entity_type", entity_type_of, "with_type"), ("relation_type", relation_of, "with_relation")):
+        for seq, x in _types_of(items, payload):
+            try:
+                out = getattr(out, add)(make(x))
+            except (InvalidQuery, KeyError, TypeError, ValueError) as e:
+                failed.append((seq, f"{payload}: {e}"))
+    errors = out.spark.createDataFrame(failed, "seq long, error string")
+    priority = lambda payload: F.coalesce(F.get_json_object(payload, "$.source_priority").try_cast("double"), F.lit(0.0))
+    of_source = lambda payload: F.coalesce(F.get_json_object(payload, "$.source"), F.col("source"), F.lit(source))
+
+    edges = items.where(F.col("delete_edge").isNotNull())
+    get = lambda path: F.get_json_object("delete_edge", path)
+    edges = edges.select("seq", F.coalesce(get("$.id"), get("$.external_id")).alias("ref"), get("$.type").alias("type"), get("$.from").alias("src"), get("$.to").alias("dst"), of_source("delete_edge").alias("source"), priority("delete_edge").alias("priority"))
+    out, stay = out.delete_edges_from_source(_ranked(edges, policy))
+    errors = errors.unionByName(stay.select("seq", F.col("problem").alias("error")))
 
     gone = items.where(F.col("delete_entity").isNotNull())
     get = lambda path: F.get_json_object("delete_entity", path)
-    ids = gone.select(F.coalesce(get("$.id"), entity_id(get("$.kind"), F.coalesce(get("$.source"), F.lit(source)), get("$.external_id"))).alias("id"))
-    out = state.delete_frame(ids)
-    edges = items.where(F.col("delete_edge").isNotNull()).select(F.get_json_object("delete_edge", "$.id").alias("id"))
-    out = State(out.spark, out.entities, out.edges.join(edges, "id", "left_anti").select(*out.edges.columns), out.relations, out.types, state.version)
-    out, one = out.upsert(entities_of(items, source))
-    out, two = out.upsert_edges(edges_of(items, source))
-    return State(out.spark, out.entities, out.edges, out.relations, out.types, state.version + 1), one.unionByName(two)
+    gone = gone.select("seq", F.coalesce(get("$.id"), entity_id(get("$.kind"), of_source("delete_entity"), get("$.external_id"))).alias("id"), of_source("delete_entity").alias("source"), priority("delete_entity").alias("priority"))
+    judged = _ranked(gone, policy).join(out.entities.select("id", "source_priority"), "id")
+    judged = written(judged)
+    errors = errors.unionByName(judged.where("source_priority > priority").select("seq", F.lit("owned by a higher priority").alias("error")))
+    out = out.delete_frame(judged.where("source_priority <= priority").select("id").distinct())
+
+    rows = entities_of(items, source)
+    rows = written(with_defaults(out, rows if policy is None else policy.apply(rows)))
+    bad = rejected_entities(out, rows)
+    errors = errors.unionByName(bad.select("seq", F.col("problem").alias("error")))
+    out, one = out.upsert(rows.join(bad.select("seq"), "seq", "left_anti"))
+    out = replace(out, entities=written(out.entities))  # edges are checked against them
+
+    links = edges_of(items, source)
+    links = written(links if policy is None else policy.ranked(links))
+    bad = rejected_edges(out, links)
+    errors = errors.unionByName(bad.select("seq", F.col("problem").alias("error")))
+    out, two = out.upsert_edges(links.join(bad.select("seq"), "seq", "left_anti"))
+    return State(out.spark, out.entities, written(out.edges), out.relations, out.types, state.version + 1), one.unionByName(two), errors
+
+
+def _ranked(requests: DataFrame, policy: SourcePolicy | None) -> DataFrame:
+    """Requests with the priority that a policy gives their source."""
+    return requests if policy is None else policy.ranked(requests, "priority")

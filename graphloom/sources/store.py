@@ -74,7 +74,7 @@ class Store:
         version = before + 1
         folder = f"{self.root}/data/{version:012d}"
         # Sorted by id within a kind: row-group statistics then answer lookups and ranges of ids.
-        state.entities.repartition("kind").sortWithinPartitions("kind", "id").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/entities")
+        state.entities.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/entities")
         state.edges.repartitionByRange("src").sortWithinPartitions("src", "type").write.mode("overwrite").parquet(f"{folder}/edges")
         manifest = {"version": version, "relations": [asdict(r) for r in state.relations.values()], "types": [asdict(t) for t in state.types.values()]}
         self._put(f"manifests/{version:012d}.json", json.dumps(manifest))

@@ -7,7 +7,7 @@ import pytest
 from graphloom.functions.values import unpacked_python
 from graphloom.operators.governance import EntityType, SourcePolicy, State, edge_rows, entity_rows, field_violations, violations, with_defaults
 from graphloom.operators.query import execute
-from graphloom.plans.request import InvalidQuery
+from graphloom.plans.request import InvalidQuery, LimitExceeded
 from graphloom.sources.graph import RelationType
 from graphloom.sources.imports import apply_items, read_csv, read_jsonl
 from graphloom.sources.store import Conflict, Store
@@ -110,7 +110,7 @@ def test_jsonl_round_trip_versions_and_saved_queries(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text("\n".join([*map(json.dumps, LINES), "not json"]))
     items, errors = read_jsonl(spark, str(tmp_path / "in.jsonl"))
     assert errors.count() == 3
-    s, _ = apply_items(State.empty(spark), items, "aws")
+    s, *_ = apply_items(State.empty(spark), items, "aws")
     assert fields(s, "host:1") == {"hostname": "app", "cpu": 4.0, "on": True, "none": None, "tags": ["x"], "labels": ["a", "b"]}
     store = Store(spark, str(tmp_path / "db"), "t1")
     assert store.save(s, 0) == 1
@@ -118,7 +118,7 @@ def test_jsonl_round_trip_versions_and_saved_queries(spark, tmp_path):
         store.save(s, 0)
     store.export(str(tmp_path / "out"))
     again, bad = read_jsonl(spark, str(tmp_path / "out"))
-    back, _ = apply_items(State.empty(spark), again)
+    back, *_ = apply_items(State.empty(spark), again)
     assert bad.count() == 0 and fields(back, "host:1") == fields(s, "host:1") and fields(back, "service:1") == fields(s, "service:1") and back.edges.count() == 1
     store.save_query("apps", {"op": "match", "kind": "host", "where": [{"field": "labels", "op": "contains", "value": "a"}]})
     assert [r["entity"]["id"] for r in store.run_saved("apps")["results"]] == ["host:1"]
@@ -130,7 +130,7 @@ def test_jsonl_round_trip_versions_and_saved_queries(spark, tmp_path):
 def test_csv(spark, tmp_path):
     (tmp_path / "in.csv").write_text('record_type,id,kind,labels,type,from,to,hostname,cpu\nentity,h1,host,b|a,,,,app 1,8\nnode,s1,service,,,,,,\nedge,,,,runs_on,s1,h1,,\nodd,x,,,,,,,\n')
     items, errors = read_csv(spark, str(tmp_path / "in.csv"))
-    s, _ = apply_items(State.empty(spark), items, "csv")
+    s, *_ = apply_items(State.empty(spark), items, "csv")
     assert errors.count() == 1 and fields(s, "h1") == {"hostname": "app 1", "cpu": 8.0, "labels": ["a", "b"]} and s.edges.head()["src"] == "s1"
 
 
@@ -158,3 +158,36 @@ def test_stream(spark, tmp_path):
     state = ingest.store.load()
     assert state.version == 2 and sorted(r["id"] for r in state.entities.collect()) == ["host:1", "host:2", "service:1"]
     assert execute(state.graph(), {"op": "neighbors", "id": "host:1"})["results"][0]["entity"]["id"] == "service:1"
+
+
+def test_ingest_keeps_types_rejects_and_replays(spark, tmp_path):
+    """Type payloads take effect, what breaks them is a dead letter, and a replay applies letters that pass by then."""
+    ingest = Ingest(Store(spark, str(tmp_path / "db")))
+    lines = lambda items: spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(items)], "seq long, line string")
+    pen = {"entity": {"id": "pen:1", "kind": "pen", "fields": {"ink": "red"}}}
+    edge = {"edge": {"type": "lies_on", "from": "pen:1", "to": "desk:1"}}
+    first = ingest.apply(lines([{"relation_type": {"name": "lies_on", "from_kinds": ["pen"], "to_kinds": ["desk"]}}, pen, edge, {"edge": {"type": "none", "from": "pen:1", "to": "pen:1"}}]), "k1", "hand")
+    state = ingest.store.load()
+    assert (first["applied"], first["failed"]) == (2, 2) and state.relations["lies_on"].to_kinds == ("desk",) and state.edges.count() == 0
+    ingest.apply(lines([{"entity": {"id": "desk:1", "kind": "desk", "fields": {}}}]), "k2", "hand")
+    again = ingest.replay("hand")
+    assert (again["scanned"], again["applied"], again["failed"]) == (2, 1, 1) and ingest.store.load().edges.head()["dst"] == "desk:1" and ingest.open_letters().count() == 1
+
+
+def test_batches_of_an_import_in_order(spark):
+    from graphloom.streaming.ingest import batches
+
+    rows = spark.range(0, 230, 10).selectExpr("id as seq").repartition(3)
+    assert batches(rows, 10) == [(0, 90), (100, 190), (200, 220)] and batches(rows.where("false"), 10) == []
+
+
+def test_edge_names_and_quota(spark):
+    s = graph(spark)
+    s, _ = s.upsert_edges(edge_rows(spark, [{"type": "works_at", "from": "p1", "to": "c1", "source": "hr", "external_id": "raw"}, {"type": "works_at", "from": "p2", "to": "c2", "source": "hr", "external_id": "raw"}]))
+    with pytest.raises(InvalidQuery):
+        s.delete_edges(["raw"])
+    s, _ = s.upsert_edges(edge_rows(spark, [{"type": "works_at", "from": "p1", "to": "c1", "source": "hr", "external_id": "own"}]))
+    assert [r["src"] for r in s.delete_edges(["own"]).edges.collect()] == ["p2"]
+    with pytest.raises(LimitExceeded):
+        s.within_quota(entities=3)
+    assert s.within_quota(entities=4, edges=2) is s

@@ -199,7 +199,7 @@ def test_word_mixer_word_by_word():
     experts, there, gates = rng.random((4, n)), rng.random((4, n)) < 0.7, rng.integers(0, language_model.GATES, n)
     there[0] = True
     first = rng.normal(size=(language_model.GATES, 4))
-    got, total, used = language_model.word_mix(experts, there, gates, starts, first)
+    got, total, used = language_model.word_mix(experts.T, there.T, gates, starts, first)
     want, sums, times = [], np.zeros_like(first), np.zeros(language_model.GATES)
     for a, b in zip(starts, starts[1:]):
         z = first.copy()
@@ -217,7 +217,7 @@ def test_word_mixer_word_by_word():
     start = np.r_[0, np.full(5, 6).cumsum()]
     vocabulary = rng.dirichlet(np.ones(5), 4)  # of the last word of five texts that are else the same
     same = np.concatenate([np.tile(experts[:, 10:15][:, None], (1, 5, 1)), vocabulary[:, :, None]], 2).reshape(4, 30)
-    p, *_ = language_model.word_mix(same, np.tile(there[:, 10:16], 5), np.tile(gates[10:16], 5), start, first)
+    p, *_ = language_model.word_mix(same.T, np.tile(there[:, 10:16], 5).T, np.tile(gates[10:16], 5), start, first)
     assert abs(p[5::6].sum() - 1) < 1e-9 and not np.allclose(p[5::6], vocabulary[0])
 
 

@@ -272,6 +272,87 @@ def test_language_model_learns_from_whole_texts():
     assert [language_model.sample_size(n) for n in (10, 51_200, 512_000)] == [200, 200, 2000]
 
 
+def counted(texts):
+    import numpy as np
+
+    counts = Counter((w, k) for t in texts for w, k in zip(t, language_model.kind_of(language_model.before(t)).tolist()))
+    words_ = sorted({w for w, _ in counts})
+    heads = Counter(h for t in texts for h in (language_model.before(t) << 17 | language_model.leads(t)).tolist())
+    keys = np.array(sorted(heads), np.int64)
+    return words_, np.array([[counts[w, k] for k in range(language_model.KINDS)] for w in words_]), (keys, np.array([heads[k] for k in keys.tolist()]))
+
+
+def test_language_model_mixer_counts_every_occurrence():
+    """One step over all bits: the gradient over the curvature of every token, each left out of its own counts."""
+    import numpy as np
+
+    texts = [language_model.tokens(t) for t in ("abab abab ba cd. abab cd", "cd ba ba", "abab " * 9 + "x" * 70)]
+    words_, counts, heads = counted(texts)
+    table_ = language_model.count_contexts(words_, counts, heads)
+    got = language_model.fit(language_model.started(table_), table_, [(words_, counts, heads)])
+    slope, bend = np.zeros((24, 6)), np.tile(np.eye(6) * language_model.RIDGE, (24, 1, 1))
+    for t in texts:
+        tail = language_model.before(t)
+        for _, bit, slots, j, _ in language_model.Bits(t, language_model.kind_of(tail), tail):
+            for r, b in enumerate(bit.astype(int)):
+                c = np.array([table_[s[r]] for s in slots])
+                c[:, b] -= 1
+                x = np.r_[np.log((c[:, 1] + language_model.PRIOR) / (c[:, 0] + language_model.PRIOR)), 1]
+                g = language_model.gate(c[3].sum(keepdims=True), j)[0]
+                p = 1 / (1 + np.exp(-0.3 * x[:5].sum()))
+                slope[g] += (b - p) * x
+                bend[g] += p * (1 - p) * np.outer(x, x)
+    step = np.clip(np.linalg.solve(bend, slope[..., None])[..., 0], -language_model.MOST_STEP, language_model.MOST_STEP)
+    first = language_model.started(table_).weights
+    assert len(words_) < language_model.sample_size(len(words_)) and np.abs(step).max() > 0.01
+    assert np.allclose(got.weights, first + step, atol=1e-4)
+
+
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    """The mixers see every training text, however many there are: all words with their counts, and all texts."""
+    import numpy as np
+
+    rows = [(i, f"{R.choice(VOCABULARY)} w{i}") for i in range(2000)]
+    seen = []
+    real = language_model.learnt
+    monkeypatch.setattr(language_model, "learnt", lambda *a: seen.append(a) or real(*a))
+    language_model.score(table(spark, rows)).count()
+    total, heads, known = 0, 0, set()
+    for r in seen[0][0].collect():
+        c, w, _, n, *_ = language_model.sent(r["size"], bytes(r["data"]))
+        total, heads, known = total + int(c.sum()), heads + int(n.sum()), known | set(w)
+    trained = [language_model.tokens(t) for i, t in rows if fold(i, 10)]
+    assert total == heads == sum(map(len, trained)) and known == {w for t in trained for w in t}
+    for texts in (np.arange(9), np.zeros(0, np.int64)):
+        length = np.array([5, 1, 1 << 19, 7, 7, 1 << 17, 3 << 16, 9, 2])
+        assert sorted(x for p in language_model.side_by_side(texts, length) for x in p.tolist()) == texts.tolist()
+
+
+def test_language_model_all_training_texts_teach(spark, monkeypatch):
+    """Also the second mixer: in each block, every token of every training text."""
+    rows = [(i, " ".join(words(1 + i % 30))) for i in range(300)]
+    fed = []
+    real = language_model.word_mix
+    monkeypatch.setattr(language_model, "word_mix", lambda experts, *a: fed.append(len(experts)) or real(experts, *a))
+    block = language_model.finished(*one_block(rows))
+    trained = sum(len(t.split()) + 1 for i, t in rows if fold(i, 10))
+    assert trained in fed and sum(block.n_tokens) in fed
+
+
+def one_block(rows):
+    """What finished takes, of a corpus of one block."""
+    import pandas as pd
+
+    parts = list(language_model.propose(4)(0, [i for i, _ in rows], [t for _, t in rows]))
+    sums = [p for s in range(4) if (own := [p for p in parts if p[1] == s]) for p in language_model.total(s, pd.DataFrame(own, columns=["block", "shard", "size", "data"]))]
+    notes = [p for p in sums if p[1] == blocks.NOTE]
+    vocabulary = [(w, c, (h, n)) for p in notes for c, w, h, n, *_ in [language_model.sent(p[2], p[3])]]
+    table_ = sum(language_model.count_contexts(*v) for v in vocabulary)
+    mixer = language_model.averaged(language_model.started(table_), [language_model.fit(language_model.started(table_), table_, vocabulary)])
+    payload = next(p[3] for p in parts if p[1] == blocks.PAYLOAD)
+    return payload, {p[1]: (p[2], p[3]) for p in sums if p[1] >= 0}, mixer, sum(p[0] for p in notes), sum(p[2] for p in notes)
+
+
 def brute_classes(rows):
     kept, parent = [], {}
     for n, (i, t, *_) in enumerate(rows):

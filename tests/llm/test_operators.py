@@ -339,6 +339,23 @@ def test_language_model_all_training_texts_teach(spark, monkeypatch):
     assert trained in fed and sum(block.n_tokens) in fed
 
 
+def test_language_model_scores_a_block_in_little_memory(monkeypatch):
+    """Beside the block itself, what is computed of its words is held for some of them at a time; the size of these pieces changes nothing."""
+    import tracemalloc
+
+    rows = [(i, " ".join(words(200))) for i in range(3000)]
+    given = one_block(rows)
+    whole = language_model.finished(*given)
+    monkeypatch.setattr(language_model, "PIECE_TOKENS", 1 << 14)
+    tracemalloc.start()
+    pieces = language_model.finished(*given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * whole.n_tokens.sum(), peak / whole.n_tokens.sum()
+    assert (whole.drop(columns=["score", "bits_per_byte"]) == pieces.drop(columns=["score", "bits_per_byte"])).all(None)
+    assert (whole.score - pieces.score).abs().max() < 0.01 * whole.score.abs().min()
+
+
 def one_block(rows):
     """What finished takes, of a corpus of one block."""
     import pandas as pd

@@ -193,6 +193,13 @@ def between(directory: list[tuple], key: str) -> Iterator[tuple]:
             yield entry
 
 
+def few(ranges: pa.ListScalar, n: int = 64) -> Iterator[list[dict]]:
+    """The ranges of a file, some at a time; converted once."""
+    wanted = ranges.as_py()
+    for i in range(0, len(wanted), n):
+        yield wanted[i : i + n]
+
+
 class CaptureIndex:
     """Sorted blocks of captures and their directory, in a folder."""
 
@@ -292,7 +299,7 @@ class CaptureIndex:
             for b in batches:
                 for content, ranges in zip(b.column("content"), b.column("ranges"), strict=True):
                     data = content.as_buffer()
-                    for part in (ranges.as_py()[i : i + 64] for i in range(0, len(ranges), 64)):
+                    for part in few(ranges):
                         got = [next(iter(parse(data.slice(x["offset"], x["length"]).to_pybytes(), x["offset"]))) for x in part]
                         columns = [
                             ([x["page_id"] for x in part], pa.int64()), ([x["surt"] for x in part], pa.string()), ([r.headers["WARC-Type"] for r in got], pa.string()), ([number(r.headers.get("WARC-Refers-To")) for r in got], pa.int64()),

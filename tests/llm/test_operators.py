@@ -272,6 +272,24 @@ def test_language_model_learns_from_whole_texts():
     assert [language_model.sample_size(n) for n in (10, 51_200, 512_000)] == [200, 200, 2000]
 
 
+def test_ranges_of_a_file_are_converted_once():
+    import pyarrow as pa
+
+    given = [{"offset": i} for i in range(1000)]
+    times = []
+
+    class Ranges:
+        def as_py(self):
+            times.append(1)
+            return pa.scalar(given).as_py()
+
+        def __len__(self):
+            return len(given)
+
+    parts = list(warc.few(Ranges()))
+    assert [x for p in parts for x in p] == given and max(map(len, parts)) == 64 and len(times) == 1
+
+
 def counted(texts):
     import numpy as np
 

@@ -374,6 +374,46 @@ def test_language_model_scores_a_block_in_little_memory(monkeypatch):
     assert (whole.score - pieces.score).abs().max() < 0.01 * whole.score.abs().min()
 
 
+def test_language_model_computes_each_beginning_once(monkeypatch):
+    """Words that begin alike share the decisions up to where they part: counted, learnt and scored as if each were alone."""
+    import numpy as np
+
+    words_ = sorted({b"".join(R.choices([b"ab", b"c", b"\x00", b"de" * 5], k=R.randrange(6))) for _ in range(400)}) + [b"ab" * 70, b"ab" * 90]
+    counts = np.array([[R.randrange(3) for _ in range(language_model.KINDS)] for _ in words_])
+    want, starts = np.zeros((language_model.OFFSETS[-1], 2)), set()
+    at, kind = np.nonzero(counts)
+    for w, k, n in zip(at.tolist(), kind.tolist(), counts[at, kind].tolist()):
+        for _, bit, slots, *_ in language_model.Bits([words_[w]], np.array([k])):
+            for s in slots:
+                np.add.at(want, (s, bit.astype(int)), n)
+        if len(words_[w]) < language_model.PIECE:
+            starts |= {(k, (words_[w] + b" ")[: j + 1]) for j in range(len(words_[w]) + 1)}
+    fed = []
+    real = language_model.Bits._byte
+    monkeypatch.setattr(language_model.Bits, "_byte", lambda bits, rows, *a: fed.append(len(rows)) or real(bits, rows, *a))
+    short = counts * (np.array([len(w) for w in words_]) < language_model.PIECE)[:, None]
+    language_model.count_contexts(words_, short)
+    # Beyond 8 bytes only neighbours are compared.
+    assert sum(fed) < 1.2 * len(starts) < 0.6 * sum(len(words_[w]) + 1 for w in np.nonzero(short)[0])
+    table_ = language_model.count_contexts(words_, counts)
+    assert np.array_equal(table_, want)
+    mixer = language_model.started(table_)
+    together = mixer.word_log10([words_[i] for i in at], kind)
+    assert np.allclose(together, [mixer.word_log10([words_[w]], np.array([k]))[0] for w, k in zip(at, kind)], rtol=1e-6)
+
+
+def test_language_model_numbers_the_tokens():
+    import numpy as np
+
+    texts = ["", " ", "a", " a  b\t\x0bA\x0cd\re \n", "\x1c\x1d\x85 \u2003x\u00c0 B\x00", "\ud800 b", *(t for _, t, *_ in ROWS)]
+    at, lengths, words_, sizes = language_model.numbered(texts)
+    each = [language_model.tokens(t) for t in texts]
+    assert [words_[i] for i in at] == [w for t in each for w in t] and lengths.tolist() == list(map(len, each))
+    assert len(set(words_)) == len(words_) and sizes == [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+    keys = np.array([5, 3, 5, 9, 3, 3], np.uint64)
+    assert language_model.by_rank(keys, np.array([3, 5, 9])).tolist() == keys.tolist()
+
+
 def one_block(rows):
     """What finished takes, of a corpus of one block."""
     import pandas as pd

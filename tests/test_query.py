@@ -172,6 +172,17 @@ def test_shortest_paths_as_by_breadth_first_search(library):
     assert path_ids(execute(g, {"op": "shortest_path", "id": "book:1", "target_id": "book:1"})) == [["book:1"]]
 
 
+def test_a_plain_page_costs_no_more_than_it_reads(spark):
+    g = Graph.of(spark, {"n": spark.range(300).selectExpr("format_string('n:%03d', id) as id")}, spark.createDataFrame([], "type string, src string, dst string"))
+    ask = {"op": "match", "kind": "n", "limit": 50, "cost_limit": 60}
+    first = execute(g, ask)
+    assert [r["entity"]["id"] for r in first["results"]] == [f"n:{i:03d}" for i in range(50)]
+    assert execute(g, {**ask, "cursor": first["next_cursor"]})["results"][0]["entity"]["id"] == "n:050"
+    for dear in ({"limit": 60}, {"sort": [{"field": "id"}]}, {"aggregate": [{"op": "count"}]}):
+        with pytest.raises(LimitExceeded):
+            execute(g, {**ask, **dear})
+
+
 def test_limits(library):
     g, *_ = library
     before = paths.held()

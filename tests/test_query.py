@@ -172,6 +172,21 @@ def test_shortest_paths_as_by_breadth_first_search(library):
     assert path_ids(execute(g, {"op": "shortest_path", "id": "book:1", "target_id": "book:1"})) == [["book:1"]]
 
 
+def test_shortest_path_goes_from_both_ends(spark, monkeypatch):
+    """Nodes that lie on no shortest path aren't reached, and of equally short paths the one with the least edge ids is found."""
+    rows = [("s", "a"), ("a", "hub"), ("other", "a"), ("b", "hub"), ("b", "t"), ("other", "b"), *((f"leaf{i}", h) for i in range(300) for h in ("hub", "other"))]
+    ids = sorted({x for row in rows for x in row})
+    g = Graph.of(spark, {"n": spark.createDataFrame([(i,) for i in ids], "id string")}, spark.createDataFrame([("e", *row) for row in rows], "type string, src string, dst string"))
+    written, seen = paths.written, []
+    monkeypatch.setattr(paths, "written", lambda df: [out := written(df), seen.append(out.count())][0])
+    got = frame(g, {"op": "shortest_path", "id": "s", "target_id": "t", "depth": 6}).head()
+    assert max(seen) < 10
+    names = {frozenset((r["src"], r["dst"])): r["id"] for r in g.edges.df.collect()}
+    best = min([names[frozenset(p)] for p in zip(w, w[1:])] for w in (["s", "a", x, "b", "t"] for x in ("hub", "other")))
+    assert got["edges"] == ">".join(best) and got["length"] == 4
+    assert frame(g, {"op": "shortest_path", "id": "s", "target_id": "t", "depth": 3}).count() == 0
+
+
 def test_a_plain_page_costs_no_more_than_it_reads(spark):
     g = Graph.of(spark, {"n": spark.range(300).selectExpr("format_string('n:%03d', id) as id")}, spark.createDataFrame([], "type string, src string, dst string"))
     ask = {"op": "match", "kind": "n", "limit": 50, "cost_limit": 60}

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from graphloom.demo import edge_counts
 from graphloom.functions.values import number_text, python_text
 from graphloom.operators import paths
 from graphloom.operators.governance import State, edge_rows, entity_rows
@@ -187,6 +188,14 @@ def test_shortest_path_goes_from_both_ends(spark, monkeypatch):
     assert frame(g, {"op": "shortest_path", "id": "s", "target_id": "t", "depth": 3}).count() == 0
 
 
+def test_edges_are_dealt_by_id_before_they_are_counted(spark):
+    rows = [(t, f"edge:{i % 40}") for t in "ab" for i in range(100)]
+    got = edge_counts(spark.createDataFrame(rows, "type string, id string"))
+    assert sorted(map(tuple, got.collect())) == [("a", 100, 40), ("b", 100, 40)]
+    deals = [x.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() + got._jdf.queryExecution().sparkPlan().toString().splitlines() if "hashpartitioning(" in x]
+    assert deals and set(deals) == {"id"}
+
+
 def test_a_plain_page_costs_no_more_than_it_reads(spark):
     g = Graph.of(spark, {"n": spark.range(300).selectExpr("format_string('n:%03d', id) as id")}, spark.createDataFrame([], "type string, src string, dst string"))
     ask = {"op": "match", "kind": "n", "limit": 50, "cost_limit": 60}

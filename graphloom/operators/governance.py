@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.values import VALUE, packed_python
+from graphloom.operators.paths import written
 from graphloom.plans.request import InvalidQuery, LimitExceeded
 from graphloom.sources.graph import BUILT_IN, FIELDS, Graph, RelationType, Table, edge_id, entity_id
 
@@ -417,26 +418,37 @@ def _by_id():
     return Window.partitionBy("id").orderBy("old_id")
 
 
-def violations(state: State) -> DataFrame:
-    """id, type, problem of the edges that break their relation: unknown relation or end, kind, cardinality."""
-    spark = state.spark
-    rules = spark.createDataFrame([(r.name, list(r.from_kinds), list(r.to_kinds), r.cardinality, r.allow_cross_kind) for r in state.relations.values()], "type string, from_kinds array<string>, to_kinds array<string>, cardinality string, any boolean")
-    ends = state.entities.select("id", "kind")
-    e = state.edges.select("id", "type", "src", "dst").join(F.broadcast(rules), "type", "left")  # relation types are a few rows
-    e = e.join(ends.select(F.col("id").alias("src"), F.col("kind").alias("from_kind")), "src", "left").join(ends.select(F.col("id").alias("dst"), F.col("kind").alias("to_kind")), "dst", "left")
-    bad = lambda kinds, kind: ~F.when(F.size(kinds) == 0, F.col("any")).otherwise(F.array_contains(kinds, F.col(kind)))
-    problem = (
-        F.when(F.col("cardinality").isNull(), "missing relation type").when(F.col("from_kind").isNull(), "missing from entity").when(F.col("to_kind").isNull(), "missing to entity")
-        .when(bad("from_kinds", "from_kind"), "from kind is not allowed").when(bad("to_kinds", "to_kind"), "to kind is not allowed")
-    )
-    single = e.select("id", "type", problem.alias("problem")).where("problem is not null")
-    crowded = []
-    for end, limits in (("src", ("many_to_one", "one_to_one")), ("dst", ("one_to_many", "one_to_one"))):
-        names = [r.name for r in state.relations.values() if r.cardinality in limits]
-        some = state.edges.where(F.col("type").isin(names))
-        many = some.groupBy("type", end).agg(F.count("*").alias("n")).where("n > 1").select("type", end)
-        crowded.append(some.join(many, ["type", end], "left_semi").select("id", "type", F.lit("violates cardinality").alias("problem")))
-    return single.unionByName(crowded[0]).unionByName(crowded[1]).distinct()
+#: What can be wrong with an edge but for its cardinality, the first first.
+_PROBLEMS = ("missing relation type", "missing from entity", "missing to entity", "from kind is not allowed", "to kind is not allowed")
+_SINGLE = {"src": ("many_to_one", "one_to_one"), "dst": ("one_to_many", "one_to_one")}
+
+
+def _bad_ends(state: State, end: str, rules: DataFrame) -> DataFrame:
+    """type, end, and what is wrong with all edges of that type there: code (of _PROBLEMS, or null) and crowded."""
+    used = state.edges.groupBy("type", end).agg(F.count("*").alias("n"))
+    kinds = state.entities.select(F.col("id").alias(end), "kind")
+    e = used.join(F.broadcast(rules), "type", "left").join(kinds, end, "left")  # relation types are a few rows
+    missing, wrong, allowed = (1, 3, F.col("from_kinds")) if end == "src" else (2, 4, F.col("to_kinds"))
+    fits = F.when(F.size(allowed) == 0, F.col("any")).otherwise(F.array_contains(allowed, F.col("kind")))
+    code = F.when(F.col("cardinality").isNull(), 0).when(F.col("kind").isNull(), missing).when(~fits, wrong)
+    crowded = (F.col("n") > 1) & F.coalesce(F.col("cardinality").isin(*_SINGLE[end]), F.lit(False))
+    return e.select(F.col("type").alias(f"{end}_type"), F.col(end).alias(f"{end}_id"), code.alias(f"{end}_code"), crowded.alias(f"{end}_crowded")).where(f"{end}_code is not null or {end}_crowded")
+
+
+def violations(state: State, hold: bool = False) -> DataFrame:
+    """id, type, problem of the edges that break their relation: unknown relation or end, kind, cardinality.
+
+    Ends are judged once for all their edges, so that only edges of bad ends are joined.  hold: bad ends are written first, so
+    that Spark knows their size, and edges aren't shuffled for an end of which few are bad."""
+    rules = state.spark.createDataFrame([(r.name, list(r.from_kinds), list(r.to_kinds), r.cardinality, r.allow_cross_kind) for r in state.relations.values()], "type string, from_kinds array<string>, to_kinds array<string>, cardinality string, any boolean")
+    e = state.edges.select("id", "type", "src", "dst")
+    for end in ("dst", "src"):
+        bad = _bad_ends(state, end, rules)
+        bad = written(bad) if hold else bad
+        e = e.join(bad, F.col("type").eqNullSafe(F.col(f"{end}_type")) & F.col(end).eqNullSafe(F.col(f"{end}_id")), "left").drop(end, f"{end}_type", f"{end}_id")
+    named = F.array(*map(F.lit, _PROBLEMS))[F.least("src_code", "dst_code")]
+    crowded = F.when(F.coalesce("src_crowded", F.lit(False)) | F.coalesce("dst_crowded", F.lit(False)), F.lit("violates cardinality"))
+    return e.select("id", "type", F.explode(F.array_compact(F.array(named, crowded))).alias("problem"))
 
 
 _TYPES = {"string": "string", "number": "number", "bool": "bool", "array": "raw", "object": "raw"}

@@ -79,6 +79,20 @@ def test_merge_split_delete_and_checks(spark):
     assert stay == ["p1"] and state.entities.count() == 4
 
 
+def test_checks_shuffle_no_edges_for_a_few_bad_ends(spark):
+    """Each problem is told once, the first of those of an edge's ends, and besides it the cardinality."""
+    ids = spark.createDataFrame([("p1", "person"), ("p2", "person"), ("c1", "company"), ("c2", "company")], "id string, kind string")
+    rows = [("1", "at", "p1", "c1"), ("2", "at", "p2", "c1"), ("3", "at", "p2", "c2"), ("4", "at", None, "c2"), ("5", "at", "c1", None), ("6", "at", "c2", "p1"), ("7", "no", None, "x"), ("8", "led", "c1", "p1"), ("9", "led", "c2", "p1"), ("10", "led", "c2", "p2"), ("11", None, "p1", "c1")]
+    rules = {"at": RelationType("at", ("person",), ("company",), "many_to_one"), "led": RelationType("led", ("company",), ("person",), "one_to_one")}
+    state = State(spark, ids, spark.createDataFrame(rows, "id string, type string, src string, dst string"), rules)
+    crowd = "violates cardinality"
+    want = [("10", crowd), ("11", "missing relation type"), ("2", crowd), ("3", crowd), ("4", "missing from entity"), ("5", "missing to entity"), ("6", "from kind is not allowed"), ("7", "missing relation type"), ("8", crowd), ("9", crowd)]
+    assert sorted((r["id"], r["problem"]) for r in violations(state).collect()) == want
+    held = violations(state, hold=True)
+    assert sorted((r["id"], r["problem"]) for r in held.collect()) == want
+    assert "hashpartitioning" not in held._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stale_marks(spark):
     s = graph(spark)
     seen = spark.createDataFrame([("p1",), ("c1",)], "external_id string")
